@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gramloom.llm import exact_dedup, licenses, mixing, packing, sstable
+from gramloom.llm import exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, rnn_lm, sstable, topk
 from gramloom.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_rnn_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,11 +37,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op6_mixing, op7_best_fit_packing, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_rnn_lm_scores, op4_crf_pii, op5_prob_minhash, op6_mixing, op7_best_fit_packing, op8_block_max_top_k, op9_co_training, op10_sstable)}
 
 ORACLE_SQL = {
     "op1_license_scan": licenses.oracle_sql(),
@@ -65,5 +87,17 @@ WITH r AS (
   FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
 )
 SELECT doc_id, source, size, n AS source_size, target, CAST(size * (whole + CASE WHEN run - size / 2e0 <= rest AND run - size <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+""",
+    "op8_block_max_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
 """,
 }
