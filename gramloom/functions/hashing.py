@@ -5,6 +5,8 @@ Results are longs with the hash's bits; unsigned() shows them as whole numbers f
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -64,7 +66,7 @@ def _over(values: pd.Series, run) -> pd.Series:
     there = values.notna().to_numpy()
     out = np.zeros(len(values), np.int64)
     out[there] = run(list(values[there])).view(np.int64)
-    return pd.Series(out).where(pd.Series(there)).astype("Int64")
+    return pd.Series(pd.arrays.IntegerArray(out, ~there))
 
 
 def murmur64(column: Column | str, seed: int = 0) -> Column:
@@ -112,4 +114,4 @@ def state_hash(pointers: Column, full: Column) -> Column:
 def unsigned(h: Column | str) -> Column:
     """A long's bits as a whole number from 0, for output and for ordering."""
     c = (F.col(h) if isinstance(h, str) else h).cast("decimal(20,0)")
-    return F.when(c < 0, c + F.lit(2**64).cast("decimal(20,0)")).otherwise(c).cast("decimal(20,0)")
+    return F.when(c < 0, c + F.lit(Decimal(2**64))).otherwise(c).cast("decimal(20,0)")

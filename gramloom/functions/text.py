@@ -36,17 +36,19 @@ def lines(text: Column | str) -> Column:
 def ngrams(tokens: Column | str, order: int, least: int = 1) -> Column:
     """Structs (n, ngram) of all runs of `least` to `order` tokens, space-joined."""
     t = _col(tokens)
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("ngram")))
-        for n in range(least, order + 1)
-    ]
     empty = F.array().cast("array<struct<n:int,ngram:string>>")
-    return F.concat(*[F.when(F.size(t) >= n, r).otherwise(empty) for n, r in zip(range(least, order + 1), runs, strict=True)])
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("ngram")))
+        return F.when(F.size(t) >= n, found).otherwise(empty)
+
+    return F.concat(*map(runs, range(least, order + 1)))
 
 
 def prefix(ngram: Column | str) -> Column:
     """A space-joined n-gram without its last word; "" for one word."""
-    return F.when(F.instr(_col(ngram), " ") > 0, F.regexp_extract(_col(ngram), "^(.*) [^ ]+$", 1)).otherwise(F.lit(""))
+    g = _col(ngram)
+    return F.substring(g, F.lit(1), F.greatest(F.length(g) - F.length(last_word(g)) - 1, F.lit(0)))
 
 
 def suffix(ngram: Column | str) -> Column:
