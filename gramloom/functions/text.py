@@ -75,16 +75,19 @@ def order_of(ngram: Column | str) -> Column:
     return F.when(g == "", 0).otherwise(F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def phrase_ngrams(line: Column | str) -> Column:
-    """The set of all runs of words of what stands before the first |||, sorted."""
-    t = words(F.substring_index(_col(line), "|||", 1))
+def all_runs(tokens: Column | str) -> Column:
+    """The set of all runs of a list's words, space-joined and sorted. Give the list as a column, or it's built for each run."""
+    t = _col(tokens)
     n = F.size(t)
-    runs = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(t, i, k), " "))
-    )
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(t, i, k), " ")))
     return F.when(n > 0, F.array_sort(F.array_distinct(F.flatten(runs)))).otherwise(F.array().cast("array<string>"))
 
 
+def phrase_ngrams(line: Column | str) -> Column:
+    """The set of all runs of words of what stands before the first |||, sorted."""
+    return all_runs(words(F.substring_index(_col(line), "|||", 1)))
+
+
 # --- delimiters and trimming ----------------------------------------------------------------------------------------
 
 

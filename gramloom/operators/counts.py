@@ -19,7 +19,8 @@ def marked(words: Column | str = "words", bos: bool = True, eos: bool = True) ->
 def count_ngrams(sents: DataFrame, order: int, least: int = 1) -> DataFrame:
     """n, ngram, c over all sentences(words), each between its markers, for n of `least` to `order`."""
     check_order(order)
-    found = sents.select(F.explode(T.ngrams(marked(), order, least)).alias("g")).select("g.n", "g.ngram")
+    # As a column of its own the list isn't built anew for each of its n-grams.
+    found = sents.select(marked().alias("t")).select(F.explode(T.ngrams("t", order, least)).alias("g")).select("g.n", "g.ngram")
     return found.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
 
 

@@ -88,4 +88,5 @@ def run_filter(lines: DataFrame, vocab: DataFrame | Callable[[Column], Column],
 
 def phrase_ngrams(lines: DataFrame) -> DataFrame:
     """line_no, ngram: the set of all runs of words in the source phrase of each line of a phrase table."""
-    return lines.select("line_no", F.explode(T.phrase_ngrams("line")).alias("ngram"))
+    source = lines.select("line_no", T.words(F.substring_index("line", "|||", 1)).alias("w"))
+    return source.select("line_no", F.explode(T.all_runs("w")).alias("ngram"))
