@@ -37,7 +37,8 @@ def water_fill(sources: DataFrame, budget: float, epochs: float) -> DataFrame:
     s = s.withColumn("cap_before", F.coalesce(F.sum("cap").over(by), F.lit(0.0))).withColumn("weight_before", F.coalesce(F.sum("weight").over(by), F.lit(0.0)))
     level = (F.sum("size").over(every) * F.lit(budget) - F.col("cap_before")) / (F.sum("weight").over(every) - F.col("weight_before"))
     s = s.withColumn("level", F.when(level <= F.col("full_at"), level))
-    s = s.withColumn("level", F.min("level").over(every))  # the first source that doesn't fill up; null: all are full
+    # The first source that doesn't fill up has the highest of these levels (those after it fall); null: all are full.
+    s = s.withColumn("level", F.max("level").over(every))
     return s.select("source", F.col("size").alias("source_size"), F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 

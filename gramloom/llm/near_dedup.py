@@ -68,7 +68,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     left = counts[text_of] - (np.arange(len(word)) - begin[text_of])  # words from here to the text's end
     for k in range(words):  # a shingle that runs beyond the end stands only for a whole short text
         near = np.zeros(len(word), np.uint64)
-        near[: len(word) - k] = word[k:]
+        near[: max(0, len(word) - k)] = word[k:]
         near[left <= k] = np.uint64(k)
         mixed = _mix(mixed * _P + near)
     real = (left >= words) | ((counts[text_of] < words) & (left == counts[text_of]))
@@ -156,9 +156,16 @@ def similarity(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -
     return float(max(plain, (1 / (p_part / x + q_part / y)).sum()))
 
 
+def _words() -> Column:
+    return F.lower(F.trim(F.regexp_replace(text_or_empty(), "[\\x20\\x09-\\x0D]+", " ")))
+
+
+def _key() -> Column:
+    return F.unhex(F.md5(_words()))
+
+
 def _normal(docs: DataFrame) -> DataFrame:
-    norm: Column = F.lower(F.trim(F.regexp_replace(text_or_empty(), "[\\x20\\x09-\\x0D]+", " ")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).withColumn("key", F.unhex(F.md5("norm")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("norm")).withColumn("key", F.unhex(F.md5("norm")))
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -221,6 +228,29 @@ def _verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFr
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept, n_links (verified links of the row's text to others)."""
+    return _classes(docs, threshold, bands, rows).drop("key")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each class, all columns kept."""
+    found = scratch(_classes(docs, **how).select("doc_id", "key", "kept"), "near-found")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay"))
+    ids = scratch(ids.where("stay < n or doc_id is null").select(F.col("doc_id").alias("__id"), (F.col("stay") == 0).alias("gone")), "near-ids")
+    same = lambda d: docs["doc_id"].cast("long").eqNullSafe(d["__id"])
+    all_ids = maybe_broadcast(ids)
+    left = docs.join(all_ids, same(all_ids), "left_anti")
+    mixed = ids.where("__id is null or not gone").select("__id")
+    if mixed.isEmpty():
+        return left
+    # Ids that stand on rows of which some stay, or on none: these rows are told apart by their words.
+    wanted = found.where("kept").join(maybe_broadcast(mixed), found["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select(F.col("doc_id").alias("__w_id"), F.col("key").alias("__w_key"))
+    small = maybe_broadcast(mixed)
+    some = docs.join(small, same(small), "left_semi").withColumn("__key", _key()).withColumn("__long", F.col("doc_id").cast("long"))
+    some = some.join(maybe_broadcast(wanted), some["__key"].eqNullSafe(F.col("__w_key")) & some["__long"].eqNullSafe(F.col("__w_id")), "left_semi")
+    return left.unionByName(some.dropDuplicates(["__long", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     signed = scratch(signatures(docs, bands, rows), "near-signed")
     texts = signed.groupBy("key").agg(F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("node"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"))
     texts = scratch(texts, "near-texts")
@@ -252,6 +282,6 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     out = signed.select("uid", "doc_id", "key").join(some, "key", "left")
     alone = F.col("keep").isNull()
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (alone | (F.col("uid") == F.col("keep"))).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

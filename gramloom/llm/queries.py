@@ -76,7 +76,7 @@ WITH r AS (
          coalesce(sum(n * 2e0) OVER o, 0e0) AS cap_before, coalesce(sum(w) OVER o, 0e0) AS w_before
   FROM s WINDOW o AS (ORDER BY n * 2e0 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT *, min(CASE WHEN (budget - cap_before) / (all_w - w_before) <= full_at THEN (budget - cap_before) / (all_w - w_before) END) OVER () AS level FROM f
+  SELECT *, max(CASE WHEN (budget - cap_before) / (all_w - w_before) <= full_at THEN (budget - cap_before) / (all_w - w_before) END) OVER () AS level FROM f
 ), t AS (
   SELECT source, n, least(cap, coalesce(level * w, cap)) AS target FROM l
 ), u AS (

@@ -247,7 +247,7 @@ def text_log_chances(v: Vocabulary, w: dict[str, np.ndarray], docs: list[np.ndar
         states, which = [], []
         for t in range(at, min(at + 4 * WINDOW, len(inputs))):
             n = going[t]
-            h = h[:n]
+            h = h[:n].copy()  # the last one is still to be scored
             h[opens[t, :n]] = 0
             h = _cell(w, w["embed"][inputs[t, :n]], h)[-1]
             states.append(h)
