@@ -33,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import scratch, text_or_empty
+from gramloom.llm.tokens import chunks
 
 #: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000
 HIDDEN, BINS = 32, 40
 WINDOW, LANES = 16, 256
+#: Rows whose logits are computed at once; words that go through the network together (longer texts then go beside many
+#: short ones, not alone); and words after which training takes a text as the next one (scoring never does).
+ROWS, TOGETHER, TRAIN_RUN = 1024, 2_000_000, 2048
 #: Documents of the sample that the driver starts from, the passes over it, and the share of documents that tasks train on.
 SAMPLE_DOCS, SAMPLE_PASSES, GRADIENT_SHARE = 400, 4, 4
 RATE = 0.08
@@ -217,21 +221,38 @@ def _class_of(v: Vocabulary, targets: np.ndarray) -> np.ndarray:
     return np.where(targets < v.head, v.bin_of[np.minimum(targets, v.head - 1)], v.n_bins + targets - v.head)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _raised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row of x, in place of x, and the rows' sums. Rows are shifted only where a value could overflow or all could vanish."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _chance_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of each row of x (which is overwritten) at one place."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def log_chances(v: Vocabulary, w: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of the chance of each target symbol: its class's, and for a head word its own within its bin."""
     kind = _class_of(v, targets)
-    out = _log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(h)), kind].astype(np.float64)
-    by = np.argsort(kind, kind="stable")
+    out = np.empty(len(h))
+    for at in range(0, len(h), ROWS):  # a slice's logits stay in the processor's cache
+        x = h[at : at + ROWS] @ w["class"]
+        x += w["class_bias"]
+        out[at : at + ROWS] = _chance_of(x, kind[at : at + ROWS])
+    by = np.argsort(kind.astype(np.int16), kind="stable")
     cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
     for b in range(v.n_bins):
         rows, (a, z) = by[cuts[b] : cuts[b + 1]], v.bin_start[b : b + 2]
         if len(rows) and z - a > 1:
-            out[rows] += _log_softmax(h[rows] @ w["word"][a:z].T + w["word_bias"][a:z])[np.arange(len(rows)), targets[rows] - a]
+            x = h[rows] @ w["word"][a:z].T
+            x += w["word_bias"][a:z]
+            out[rows] += _chance_of(x, targets[rows] - a)
     return out
 
 
@@ -291,19 +312,26 @@ class Trainer:
         states = np.concatenate([p[3] + p[1] * (p[0] - p[3]) for p in past])
         goal = targets[there]
         kind = _class_of(v, goal)
-        wrong = np.exp(_log_softmax(states @ w["class"] + w["class_bias"]))
+        wrong = states @ w["class"]
+        wrong += w["class_bias"]
+        wrong, total = _raised(wrong)
+        wrong /= total[:, None]
         wrong[np.arange(len(goal)), kind] -= 1
         slope = wrong @ w["class"].T
-        steps = [("class", states.T @ wrong, slice(None)), ("class_bias", wrong.sum(0), slice(None))]
+        steps = [("class", states.T @ wrong, slice(None)), ("class_bias", np.ones(len(wrong), wrong.dtype) @ wrong, slice(None))]
         by = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
         for b in range(v.n_bins):
             rows, (a, z) = by[cuts[b] : cuts[b + 1]], v.bin_start[b : b + 2]
             if len(rows) and z - a > 1:
-                p = np.exp(_log_softmax(states[rows] @ w["word"][a:z].T + w["word_bias"][a:z]))
+                own = states[rows]
+                p = own @ w["word"][a:z].T
+                p += w["word_bias"][a:z]
+                p, total = _raised(p)
+                p /= total[:, None]
                 p[np.arange(len(rows)), goal[rows] - a] -= 1
                 slope[rows] += p @ w["word"][a:z]
-                steps += [("word", p.T @ states[rows], slice(a, z)), ("word_bias", p.sum(0), slice(a, z))]
+                steps += [("word", p.T @ own, slice(a, z)), ("word_bias", np.ones(len(p), p.dtype) @ p, slice(a, z))]
         # Back through the window; what lies before it is left as it is.
         ends = np.cumsum(going)
         later = np.zeros((0, h.shape[1]), np.float32)
@@ -330,7 +358,11 @@ class Trainer:
         return h
 
 
-def _groups(docs: list[np.ndarray], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+def _runs(doc: np.ndarray) -> list[np.ndarray]:
+    return [doc[at : at + TRAIN_RUN] for at in range(0, len(doc), TRAIN_RUN)]
+
+
+def _groups(docs: list[np.ndarray], most: int = TOGETHER) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for d in docs:
         held.append(d)
@@ -381,7 +413,7 @@ def train(docs: DataFrame, v: Vocabulary, share: int = GRADIENT_SHARE) -> dict[s
     reader = Reader(v)
     first = rows.orderBy("h", "text").limit(SAMPLE_DOCS).toArrow()["text"].to_pylist()
     start = Trainer(v, start_weights(v))
-    sample = [reader.read(t)[0] for t in first]
+    sample = [run for t in first for run in _runs(reader.read(t)[0])]
     for _ in range(SAMPLE_PASSES):
         start.texts(sample, reader.end, lanes=32)
     sent = spark.sparkContext.broadcast((v, start.w, start.squares))
@@ -391,7 +423,7 @@ def train(docs: DataFrame, v: Vocabulary, share: int = GRADIENT_SHARE) -> dict[s
         v, w, squares = sent.value
         trainer, own, n = Trainer(v, w, squares), Reader(v), 0
         for batch in batches:
-            for part in _groups([own.read(t)[0] for t in batch.column(0).to_pylist()]):
+            for part in _groups([run for t in batch.column(0).to_pylist() for run in _runs(own.read(t)[0])]):
                 trainer.texts(part, own.end)
                 n += sum(map(len, part))
         if n:
@@ -425,12 +457,12 @@ def score(docs: DataFrame, head: int = HEAD, known: int = KNOWN) -> DataFrame:
         reader = Reader(v)
         logs = np.log10(v.counts + 0.5)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at, end in chunks(batch.column("text").to_pylist(), 6 * TOGETHER):
+                part = batch.slice(at, end - at)
                 symbols, columns = [], [[] for _ in range(4)]
                 for text in part.column("text").to_pylist():
                     s, places, rare = reader.read(text)
-                    symbols.append(s)
+                    symbols.append(s.astype(np.int32))
                     seen = places[places >= 0]
                     tail = s[s >= v.head] - v.head
                     of_tail = logs[places[(places >= 0) & (s >= v.head)]].sum() - v.shape_log[tail].sum()
