@@ -7,8 +7,8 @@ counts that each task has summed up before.
 The network reads a word (of the HEAD most frequent ones, or else the class of its shape), and gives a chance to each
 class: bins of frequent words, whose words have a softmax of their own, or a shape of rarer words, whose words have the
 chance (count + 0.5) / (counts + 0.5 (words + 1)) of their shape, one share being left for what was never seen. It's
-trained by truncated backpropagation through time, first on a bounded sample on the driver, then by every task on its
-part of the corpus (every GRADIENT_SHARE-th training document), and the tasks' weights are averaged in a tree.
+trained by truncated backpropagation through time, first on a bounded sample on the driver, then by every task in one pass
+over all training documents of its part of the corpus, and the tasks' weights are averaged in a tree.
 
 Scoring carries the state over all windows of a text, so that the score is of the whole text. The counts of the KNOWN most
 frequent words are sent to the tasks; rarer words of a text are joined to the table of counts.
@@ -42,8 +42,8 @@ WINDOW, LANES = 16, 256
 #: Rows whose logits are computed at once; words that go through the network together (longer texts then go beside many
 #: short ones, not alone); and words after which training takes a text as the next one (scoring never does).
 ROWS, TOGETHER, TRAIN_RUN = 1024, 2_000_000, 2048
-#: Documents of the sample that the driver starts from, the passes over it, and the share of documents that tasks train on.
-SAMPLE_DOCS, SAMPLE_PASSES, GRADIENT_SHARE = 400, 4, 4
+#: Documents of the sample that the driver starts from, and the passes over it.
+SAMPLE_DOCS, SAMPLE_PASSES = 400, 4
 RATE = 0.08
 END = b"\n"
 
@@ -406,8 +406,8 @@ def _averaged(rows: DataFrame, tasks: int, fan_in: int = 32) -> np.ndarray | Non
     return np.concatenate([np.array(x, np.float32) for x in got["x"].to_pylist()]) if got.num_rows else None
 
 
-def train(docs: DataFrame, v: Vocabulary, share: int = GRADIENT_SHARE) -> dict[str, np.ndarray]:
-    """docs: the training rows. Weights of the network, first fitted to a sample on the driver, then by all tasks."""
+def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """docs: the training rows. Weights of the network, first fitted to a sample on the driver, then by all tasks to all rows."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), text_or_empty().alias("text"))
     reader = Reader(v)
@@ -431,8 +431,7 @@ def train(docs: DataFrame, v: Vocabulary, share: int = GRADIENT_SHARE) -> dict[s
             for b, at in enumerate(range(0, len(flat), BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[at : at + BLOCK]], pa.list_(pa.float32()))], schema=schema)
 
-    own_share = rows.where(F.pmod("h", F.lit(share)) == 0).select("text")
-    fitted = scratch(own_share.mapInArrow(run, "task int, block int, n long, x array<float>"), "lm-weights")
+    fitted = scratch(rows.select("text").mapInArrow(run, "task int, block int, n long, x array<float>"), "lm-weights")
     tasks = fitted.agg(F.max("task")).first()[0]
     flat = None if tasks is None else _averaged(fitted, tasks + 1)
     return start.w if flat is None else _unflat(flat, start.w)
