@@ -2,8 +2,9 @@
 their identifiers is matched against ordered licence rules. Built-in column functions only; one narrow pass, no shuffle.
 
 Sentences end at . ! ? : ; before white space, at blank lines, and at a line end before anything but a small letter or a
-figure (so wrapped lines are joined). They're compared in lower case with only letters and figures. Known sentences of a
-text are written as a sequence, "_" standing for a run of others; a rule matches its identifiers side by side, and what it
+figure (so wrapped lines are joined). They're compared in lower case with only letters and figures. Known sentences are cut
+in the same way, so one may be several sentences of a text; it may also be wrapped before a capital, and the list number
+("1.", "(b)") of one that stands in a list goes with it. A line with an SPDX identifier ends there. Known sentences of a text are written as a sequence, "_" standing for a run of others; a rule matches its identifiers side by side, and what it
 matched can't match again. Rules are tried in their order, so a licence's full text comes before its short notices.
 
 Defined cases: a null or empty text has no sentence and no licence; a known sentence that no rule used is listed in
@@ -73,6 +74,12 @@ SENTENCES: dict[str, list[str]] = {
     "reserved": ["All rights reserved."],
 }
 
+#: Forms that only the scan knows, not the SQL.
+FORMS = {"mpl2-url": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."]}
+
+#: What stands in numbered lists.
+LISTED = {"bsd-source", "bsd-binary", "bsd-endorse"}
+
 #: Licences and the identifiers that make them, in the order in which they are tried.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
@@ -108,6 +115,10 @@ _ENDS = "([.!?:;])[ \\t\\n\\r\\f\\x0B]+"
 _BLANK = "\\n[ \\t\\r]*\\n[ \\t\\r\\n]*"
 _WRAPPED = "[ \\t\\r]*\\n[ \\t\\r#*/;-]*([\\p{Ll}0-9(])"
 _NOISE = "[^\\p{L}\\p{N}\\x1f]+"
+# For the scan, a line end that doesn't end a sentence for sure is \x1e, and \x1d stands around what is known.
+_SPDX = "(SPDX-License-Identifier:[ \\t]*[A-Za-z0-9.+-]+)[ \\t\\r*/#>-]*\\n"
+_SCAN_NOISE = "[^\\p{L}\\p{N}\\x1e\\x1f]+"
+_LIST = "(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[ \\x1f]"
 
 
 def normalise(sentence: str) -> str:
@@ -118,12 +129,32 @@ def known() -> dict[str, str]:
     return {normalise(s): k for k, sentences in SENTENCES.items() for s in sentences}
 
 
+def pieces(sentence: str) -> list[str]:
+    """The normalised sentences that a text's cutter makes of a known sentence."""
+    return [n for part in re.sub(_ENDS, "\\1\x1f", sentence).split("\x1f") if (n := normalise(part))]
+
+
+def scan_table() -> dict[str, str]:
+    return known() | {normalise(s): k for k, forms in FORMS.items() for s in forms}
+
+
+def _known_pattern() -> str:
+    """All known sentences, the longest first: breaks of wrapped lines anywhere, breaks of sentences where the cutter makes them."""
+    forms = {normalise(s): "[ \\x1e\\x1f]".join(p.replace(" ", "[ \\x1e]") for p in pieces(s)) for table in (SENTENCES, FORMS) for of in table.values() for s in of}
+    listed = "(?:" + "|".join(forms[s] for s, k in scan_table().items() if k in LISTED) + ")(?:[\\x1e\\x1f])"
+    return f"(?<=[\\x1e\\x1f])(?:{_LIST}(?={listed}))?({'|'.join(forms[s] for s in sorted(forms, key=len, reverse=True))})(?=[\\x1e\\x1f])"
+
+
 def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in their order."""
-    marked = F.regexp_replace(text, _ENDS, "$1\x1f")
+    """The normalised sentences of a text, in their order; what is known is one sentence."""
+    marked = F.regexp_replace(F.translate(text, "\x1d\x1e", "__"), _SPDX, "$1\x1f")
+    marked = F.regexp_replace(marked, _ENDS, "$1\x1f")
     marked = F.regexp_replace(F.regexp_replace(marked, _BLANK, "\x1f"), _WRAPPED, " $1")
-    plain = F.regexp_replace(F.lower(F.translate(marked, "\n", "\x1f")), _NOISE, " ")
-    return F.filter(F.transform(F.split(plain, "\x1f"), lambda s: F.trim(s)), lambda s: s != "")
+    plain = F.regexp_replace(F.lower(F.translate(marked, "\n", "\x1e")), _SCAN_NOISE, " ")
+    plain = F.concat(F.lit("\x1f"), plain, F.lit("\x1f"))
+    plain = F.regexp_replace(F.regexp_replace(plain, "[ \\x1e]*\\x1f[ \\x1e\\x1f]*", "\x1f"), " *\\x1e[ \\x1e]*", "\x1e")
+    parts = F.split(F.regexp_replace(plain, _known_pattern(), "\x1d$1\x1d"), "\x1d")
+    return F.flatten(F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.array(F.translate(p, "\x1e\x1f", "  "))).otherwise(F.filter(F.split(p, "[\\x1e\\x1f]"), lambda s: s != ""))))
 
 
 def match(sequence: Column) -> Column:
@@ -135,7 +166,7 @@ def match(sequence: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_known, sequence, licences (distinct, in their order), unmatched."""
-    table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in scan_table().items() for x in pair])
     rows = docs.select(F.col("doc_id"), sentences(text_or_empty()).alias("s"))
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.transform("s", lambda s: F.coalesce(F.try_element_at(table, s), F.lit("_"))).alias("ids"))
     rows = rows.withColumn("n_known", F.size(F.filter("ids", lambda x: x != "_")).cast("long"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gramloom.llm import rnn_lm
+from gramloom.llm import licenses, rnn_lm
 from test_text_operators import frame
 
 # --- the language model -----------------------------------------------------------------------------------------------
@@ -14,3 +14,87 @@ def test_every_training_document_gives_gradients(spark, monkeypatch):
     v = rnn_lm.vocabulary(rnn_lm.count_words(docs))
     moved = np.abs(rnn_lm.train(docs, v)["embed"] - rnn_lm.start_weights(v)["embed"]).max(1) > 0
     assert all(moved[v.words.index(b"own%d" % i)] for i in range(24))
+
+
+# --- licences ---------------------------------------------------------------------------------------------------------
+
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_every_known_sentence_is_found_without_exclusion(spark):
+    rows = [(k, s) for table in (licenses.SENTENCES, licenses.FORMS) for k, of in table.items() for s in of]
+    got = licenses.scan(frame(spark, ["Before this. " + s + "\n\nAfter that." for _, s in rows])).collect()
+    assert [rows[r.doc_id] for r in got if r.sequence != f"_ {rows[r.doc_id][0]} _" or r.n_sentences != 3] == []
+
+
+def test_licences_as_they_are_written(spark):
+    want = {
+        BSD: "BSD-2-Clause", BSD + BSD3: "BSD-3-Clause", BSD.replace("1. ", "(a) ").replace("2. ", "(b) "): "BSD-2-Clause", MPL: "MPL-2.0", APACHE: "Apache-2.0",
+        GPL.format(";", ";", 2): "GPL-2.0-or-later", GPL.format(":", ",", 3): "GPL-3.0-or-later", MIT: "MIT",
+        "# SPDX-License-Identifier: MIT\nimport os\n": "MIT", "// SPDX-License-Identifier: GPL-2.0-only\n\nint x;": "GPL-2.0-only", "/* SPDX-License-Identifier: MPL-2.0 */\nint x;": "MPL-2.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "", "MIT. License.": "", "Mit\x1eLicense": "MIT",
+    }
+    got = licenses.scan(frame(spark, [*want])).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [*want.values()] and [r.unmatched for r in got if r.licences.startswith(("BSD", "MPL", "Apache", "GPL"))] == [""] * 9
