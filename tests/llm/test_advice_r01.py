@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from gramloom.llm import licenses, rnn_lm
+from gramloom.llm import licenses, near_dedup, rnn_lm
+from test_index_operators import plain_shingles
 from test_text_operators import frame
 
 # --- the language model -----------------------------------------------------------------------------------------------
@@ -98,3 +99,17 @@ def test_licences_as_they_are_written(spark):
     }
     got = licenses.scan(frame(spark, [*want])).orderBy("doc_id").collect()
     assert [r.licences for r in got] == [*want.values()] and [r.unmatched for r in got if r.licences.startswith(("BSD", "MPL", "Apache", "GPL"))] == [""] * 9
+
+
+# --- near-duplicates --------------------------------------------------------------------------------------------------
+
+
+def test_near_copies_with_a_repeated_passage_are_candidates(spark):
+    texts = []
+    for i in range(20):
+        base = " ".join(f"b{i}x{k}" for k in range(104))
+        texts += [base, base + (" " + " ".join(f"p{i}x{k}" for k in range(20))) * 20]
+    shared = [(plain_shingles(a).keys(), plain_shingles(b).keys()) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all(len(a & b) / len(a | b) >= 0.8 for a, b in shared)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(40)] == [i - i % 2 for i in range(40)]
