@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,5 +53,17 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(maybe_broadcast(ids), docs["doc_id"] == F.col("__dropped_id"), "left_anti")
 
 
+def chunks(texts: list[str], most: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Slices (from, to) of texts of about so many characters, one text at least, and of at most so many rows."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most or k + 1 - at == rows:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

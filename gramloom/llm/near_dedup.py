@@ -5,13 +5,20 @@ shingle is a Poisson process with its weight as rate, whose arrivals fall on ran
 shingle that arrives first, and a process ends when its next arrival is later than every register's. Two documents agree
 in a register with a chance that is their probability Jaccard. A text that repeats shingles has registers of its set as
 well (all weights 1), which agree by the plain Jaccard; without repeats they're the same. Both are banded alike; documents
-that share a band are candidates and are verified exactly: they're linked if the probability Jaccard of their weights or the Jaccard of their
-shingle sets is at least the threshold.
+that share a band are candidates and are verified exactly: they're linked if the probability Jaccard of their weights or
+the Jaccard of their shingle sets is at least the threshold.
 
-Documents of equal words are one text from the start, so copies meet no band. In a bucket, all texts are first verified
-against its first one; then classes are formed, and what is left are pairs of texts of one bucket in different classes,
-which are verified as well. So no link among candidates is lost, and the texts of one large class make no pairs with each
-other. 46 bands of 7 registers miss a pair at the threshold of 0.8, in either Jaccard, with a chance of 2e-5.
+Documents of equal words are one text from the start, so copies meet no band. Verification makes no row for a pair:
+
+1. Stars. In each bucket all texts are compared with the bucket's first one. A text goes to the tasks of its buckets' first
+   texts (stars of over STAR texts to several), and only links come out; connected ones are classes.
+2. Blocks. What is left are buckets that still hold several classes. Their texts are gathered to units that share buckets
+   (beyond UNIT texts, a unit is one bucket), a unit is cut into blocks of bounded size, and a task compares two blocks by
+   counting shared shingles in matrix products. Texts of one unit's largest class aren't compared with each other. Of the
+   links only those come out that join two classes.
+
+So no link among candidates is lost. 46 bands of 7 registers miss a pair at the threshold of 0.8, in either Jaccard, with
+a chance of 2e-5.
 
 Defined cases: a null text is an empty one; texts without words are one class; a text of under five words has one
 shingle, all of it; a class's id is its smallest doc_id (null ids don't count, unless there are no others) and that row
@@ -21,6 +28,7 @@ read.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import maybe_broadcast, scratch, text_or_empty
+from gramloom.llm.common import chunks, maybe_broadcast, scratch, text_or_empty
 from gramloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 46, 7
+#: Characters that are cut into shingles at once (about 60 bytes each).
+CHARS = 1_000_000
+#: Texts of a star that go to one task, texts of a unit, and the texts and bytes of a block.
+STAR, UNIT, BLOCK_TEXTS, BLOCK_BYTES = 2000, 20_000, 1024, 4_000_000
+#: Bits of the map of buckets (4 MB), texts up to which a shingle's pairs are counted, shingles in one product.
+MAP_BITS, FEW, WIDE = 25, 8, 2048
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,6 +171,135 @@ def similarity(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -
     return float(max(plain, (1 / (p_part / x + q_part / y)).sum()))
 
 
+def highest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A bound of J_P, given the shares p and q of two texts' weights that lie on shared shingles.
+
+    Shingle i adds at most 1 / (1 / p_i + (1 - q) / q_i); that is concave and homogeneous in (p_i, q_i), so the sum is at most
+    the same expression of the sums; it holds with p and q exchanged, too. For sets of one size it's their Jaccard.
+    """
+    both = p * q
+    return np.where(both > 0, both / np.maximum(np.maximum(q + (1 - q) * p, p + (1 - p) * q), 1e-30), 0)
+
+
+@dataclasses.dataclass
+class Texts:
+    """The shingles of some texts, each text's sorted and side by side, and what verification needs of them."""
+
+    at: np.ndarray  # where each text's shingles start, and the end
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Texts:
+        sizes, hashes, counts = [], [], []
+        for a, b in chunks(texts, CHARS):
+            text_of, h, c = shingles(texts[a:b])
+            sizes.append(np.bincount(text_of, minlength=b - a))
+            hashes.append(h)
+            counts.append(c)
+        return Texts(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64), np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *counts]))
+
+    def __post_init__(self):
+        self.sizes = np.diff(self.at)
+        self.text_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        weights = weights_of(self.counts)
+        self.shares = weights / np.bincount(self.text_of, weights, len(self.sizes))[self.text_of]
+        self.repeats = np.bincount(self.text_of, self.counts > 1, len(self.sizes)) > 0
+
+    def some(self, a: int, b: int) -> Texts:
+        """Those from a to b."""
+        inside = slice(self.at[a], self.at[b])
+        return Texts(self.at[a : b + 1] - self.at[a], self.hashes[inside], self.counts[inside])
+
+    def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashes[self.at[k] : self.at[k + 1]], self.counts[self.at[k] : self.at[k + 1]]
+
+    def like(self, other: Texts, k: int, threshold: float) -> np.ndarray:
+        """Which of these texts are linked to the k-th of other."""
+        lead, counts = other.part(k)
+        place = np.minimum(np.searchsorted(lead, self.hashes), max(0, len(lead) - 1))
+        shared = lead[place] == self.hashes if len(lead) else np.zeros(len(self.hashes), bool)
+        n = len(self.sizes)
+        inter = np.bincount(self.text_of[shared], minlength=n)
+        out = inter / np.maximum(self.sizes + len(lead) - inter, 1) >= threshold
+        maybe = ~out & (self.repeats | other.repeats[k])
+        if maybe.any():
+            own = np.bincount(self.text_of[shared], self.shares[shared], n)
+            theirs = np.bincount(self.text_of[shared], other.shares[other.at[k] : other.at[k + 1]][place[shared]], n)
+            for t in np.flatnonzero(maybe & (highest(own, theirs) >= threshold - 1e-6)):
+                out[t] = similarity(*self.part(t), lead, counts) >= threshold
+        return out
+
+    def joins(self, rows: np.ndarray, cols: np.ndarray, label: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """Linked pairs of a text of rows and one of cols, as many as join the classes that links between them join."""
+        n_r, n_c, n = len(rows), len(cols), len(self.sizes)
+        row_at, col_at = np.full(n, -1), np.full(n, -1)
+        row_at[rows], col_at[cols] = np.arange(n_r), np.arange(n_c)
+        weighted = bool(self.repeats[rows].any() or self.repeats[cols].any())
+        by = np.argsort(self.hashes, kind="stable")
+        new = np.concatenate([[True], np.diff(self.hashes[by]) != 0])[: len(by)]
+        word = np.cumsum(new) - 1
+        often = np.bincount(word)[word] if len(by) else word
+        inter = np.zeros((n_r, n_c), np.float32)
+        p, q = (np.zeros((n_r, n_c), np.float32), np.zeros((n_r, n_c), np.float32)) if weighted else (inter, inter)
+        # Shingles of a few texts: their pairs are counted.
+        few = (often > 1) & (often <= FEW)
+        entry, words = by[few], word[few]
+        for step in range(1, FEW):
+            same = np.flatnonzero(words[step:] == words[:-step])
+            for x, y in ((entry[same], entry[same + step]), (entry[same + step], entry[same])):
+                r, c = row_at[self.text_of[x]], col_at[self.text_of[y]]
+                ok = (r >= 0) & (c >= 0)
+                cell = r[ok] * n_c + c[ok]
+                inter += np.bincount(cell, minlength=n_r * n_c).reshape(n_r, n_c)
+                if weighted:
+                    p += np.bincount(cell, self.shares[x[ok]], n_r * n_c).reshape(n_r, n_c)
+                    q += np.bincount(cell, self.shares[y[ok]], n_r * n_c).reshape(n_r, n_c)
+        # Shingles of many: products of matrices, WIDE shingles at a time.
+        many = often > FEW
+        entry, words = by[many], np.cumsum(new & many)[many] - 1
+        for a in range(0, int(words[-1]) + 1 if len(words) else 0, WIDE):
+            some = slice(*np.searchsorted(words, [a, a + WIDE]))
+            text, w = self.text_of[entry[some]], words[some] - a
+            left, right = np.zeros((n_r, WIDE), np.float32), np.zeros((n_c, WIDE), np.float32)
+            r, c = row_at[text], col_at[text]
+            left[r[r >= 0], w[r >= 0]] = 1
+            right[c[c >= 0], w[c >= 0]] = 1
+            inter += left @ right.T
+            if weighted:
+                heavy = np.zeros_like(left)
+                heavy[r[r >= 0], w[r >= 0]] = self.shares[entry[some]][r >= 0]
+                p += heavy @ right.T
+                heavy = np.zeros_like(right)
+                heavy[c[c >= 0], w[c >= 0]] = self.shares[entry[some]][c >= 0]
+                q += left @ heavy.T
+        unlike = label[rows][:, None] != label[cols]
+        shared = inter.astype(np.float64)
+        linked = unlike & (shared / np.maximum(self.sizes[rows][:, None] + self.sizes[cols] - shared, 1) >= threshold)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        out: list[tuple[int, int]] = []
+        r, c = np.nonzero(linked)
+        _, first = np.unique(np.stack([label[rows[r]], label[cols[c]]]), axis=1, return_index=True)
+        for i, j in zip(rows[r[first]].tolist(), cols[c[first]].tolist(), strict=True):
+            if (x := find(int(label[i]))) != (y := find(int(label[j]))):
+                root[x] = y
+                out.append((i, j))
+        if weighted:
+            maybe = unlike & ~linked & (self.repeats[rows][:, None] | self.repeats[cols]) & (highest(p, q) >= threshold - 1e-3)
+            for i, j in zip(*(side.tolist() for side in (lambda r, c: (rows[r], cols[c]))(*np.nonzero(maybe))), strict=True):
+                if (x := find(int(label[i]))) != (y := find(int(label[j]))) and similarity(*self.part(i), *self.part(j)) >= threshold:
+                    root[x] = y
+                    out.append((i, j))
+        return out
+
+
 def _words() -> Column:
     return F.lower(F.trim(F.regexp_replace(text_or_empty(), "[\\x20\\x09-\\x0D]+", " ")))
 
@@ -170,13 +313,13 @@ def _normal(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """uid, doc_id, key (of the words), bands (of the weights and of the set, each once): none without words."""
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """uid, doc_id, key (of the words), size (their bytes), bands (of the weights and of the set, each once): none without words."""
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, end in chunks(batch.column("norm").to_pylist(), CHARS, 500):
+                part = batch.slice(at, end - at)
                 text_of, hashes, counts = shingles(part.column("norm").to_pylist())
                 keys = band_keys(prob_minhash(text_of, hashes, weights_of(counts), part.num_rows, bands * rows), bands, rows)
                 some = np.bincount(text_of, minlength=part.num_rows) > 0
@@ -186,53 +329,127 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
                 there = np.concatenate([np.repeat(some[:, None], bands, 1), repeats[:, None] & (of_set != keys)], 1)
                 ends = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([keys, of_set], 1)[there]))
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), part.column("key"), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "key", "size")), lists], schema=schema)
 
-    rows_in = _normal(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key", "norm")
-    return rows_in.mapInArrow(sign, "uid long, doc_id long, key binary, bands array<long>")
+    rows_in = _normal(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key", F.octet_length("norm").cast("long").alias("size"), "norm")
+    return rows_in.mapInArrow(sign, "uid long, doc_id long, key binary, size long, bands array<long>")
 
 
-def _shingled(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes, counts of the texts in nodes(node, rep_id, key)."""
-    wanted = maybe_broadcast(nodes.select("node", "rep_id", F.col("key").alias("node_key")))
-    rows = _normal(docs)
-    rows = rows.join(wanted, (rows["key"] == F.col("node_key")) & rows["doc_id"].eqNullSafe(F.col("rep_id"))).select("node", "norm")
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+def _held_buckets(signed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """bucket, lead, node of the buckets(bucket, lead). A bitmap of bounded size drops most band rows before the join."""
+    slots = buckets.select(F.shiftrightunsigned("bucket", 64 - MAP_BITS).alias("slot"))
+    marks = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    words[marks["word"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
+    sent = signed.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                text_of, hashes, counts = shingles(part.column("norm").to_pylist())
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=part.num_rows))]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], schema=schema)
+            lists = batch.column("bands")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = flat.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            there = (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[there]), pa.array(node[there])], schema=schema)
 
-    return rows.mapInArrow(run, "node long, hashes array<long>, counts array<int>").dropDuplicates(["node"])
+    rows = signed.select("node", "bands").mapInArrow(run, "bucket long, node long")
+    return rows.join(maybe_broadcast(buckets), "bucket").select("bucket", "lead", "node").distinct()
 
 
-def _verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    side = lambda s: shingled.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}"), F.col("counts").alias(f"n{s}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+def _star_links(stars: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the links in stars(lead, salt, member, node, norm), where a lead (member 0) comes with each salted part of its star."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
         for batch in batches:
-            sides = []
-            for s in "ab":
-                h, n = batch.column(f"h{s}"), batch.column(f"n{s}")
-                sides.append((h.offsets.to_numpy(), h.values.to_numpy(zero_copy_only=False).view(np.uint64), n.offsets.to_numpy(), n.values.to_numpy(zero_copy_only=False)))
-            (ao, ah, co, ac), (bo, bh, do, bc) = sides
-            linked = [
-                similarity(ah[ao[k] : ao[k + 1]], ac[co[k] : co[k + 1]], bh[bo[k] : bo[k + 1]], bc[do[k] : do[k + 1]]) >= threshold for k in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(linked, pa.bool_()))
+            for a, b in chunks(batch.column("norm").to_pylist(), CHARS):
+                part = batch.slice(a, b - a)
+                leads, salts, members, nodes = (part.column(c).to_numpy() for c in ("lead", "salt", "member", "node"))
+                texts = Texts.of(part.column("norm").to_pylist())
+                cuts = np.flatnonzero((np.diff(leads) != 0) | (np.diff(salts) != 0)) + 1
+                for x, y in zip([0, *cuts], [*cuts, b - a], strict=True):
+                    if members[x] == 0:  # else this goes on with the star of the part before
+                        lead = texts.some(x, x + 1)
+                        x += 1
+                    if x < y:
+                        hits = np.flatnonzero(texts.some(x, y).like(lead, 0, threshold)) + x
+                        yield pa.RecordBatch.from_arrays([pa.array(leads[hits]), pa.array(nodes[hits])], schema=schema)
+
+    dealt = stars.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
+    return dealt.select("lead", "salt", "member", "node", "norm").mapInArrow(run, "a long, b long")
+
+
+def _block_links(dealt: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that join classes, in groups (unit, kind, i, j) of texts (side, node, label, norm).
+
+    Texts of side 0 are compared with all (kind 0) or with those of side 1. A group is bounded by its blocks.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("unit", "kind", "i", "j")
+
+    def links(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(group)
+        side, node, label = (rows[c].to_numpy() for c in ("side", "node", "label"))
+        first = np.flatnonzero(side == 0)
+        other = np.arange(len(side)) if rows["kind"][0].as_py() == 0 else np.flatnonzero(side == 1)
+        found = Texts.of(rows["norm"].to_pylist()).joins(first, other, label, threshold) if len(first) and len(other) else []
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[ends[:, 0]]), pa.array(node[ends[:, 1]])], schema=schema)
 
-    return joined.select("a", "b", "ha", "na", "hb", "nb").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in names]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+            for x, y in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if held and key != tuple(c[x] for c in columns):
+                    yield links(held)
+                    held = []
+                key = tuple(c[x] for c in columns)
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield links(held)
+
+    sorted_ = dealt.repartition(*names).sortWithinPartitions(*names)
+    return sorted_.select(*names, "side", "node", "label", "norm").mapInArrow(run, "a long, b long")
+
+
+def _blocks(here: DataFrame, sizes: DataFrame, unit_texts: int, block_texts: int, block_bytes: int) -> DataFrame:
+    """unit, kind, i, j, side, node, label: the groups in which the texts of mixed buckets here(bucket, lead, node, label) are compared."""
+    near = components(here.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    near = near.withColumnRenamed("label", "unit")
+    large = near.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit_texts).select("unit", F.lit(True).alias("large"))
+    rows = here.join(maybe_broadcast(near), "node").join(maybe_broadcast(large), "unit", "left")
+    rows = rows.select(F.when(F.col("large"), F.col("bucket")).otherwise(F.col("unit")).alias("unit"), "node", "label").distinct()
+    rows = scratch(rows.join(maybe_broadcast(sizes), "node"), "near-units")
+    main = rows.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rows = rows.join(maybe_broadcast(main), "unit").withColumn("side", (F.col("label") == F.col("main")).cast("int"))
+    of = lambda c, s: F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0))
+    rows = rows.withColumn("one", F.lit(1))
+    need = lambda s: F.ceil(F.greatest(of("one", s) / block_texts, of("size", s) / block_bytes)).cast("int")
+    whole = (F.count(F.lit(1)) <= block_texts) & (F.sum("size") <= block_bytes)
+    rows = rows.join(maybe_broadcast(scratch(rows.groupBy("unit").agg(whole.alias("whole"), need(0).alias("n0"), need(1).alias("n1")), "near-blocks")), "unit")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.lit(1))).cast("int"))
+    group = lambda kind, i, j, side: F.struct(*[x.cast("int").alias(n) for x, n in ((kind, "kind"), (i, "i"), (j, "j"), (side, "side"))])
+    none, one = F.lit(0), F.lit(1)
+    b = F.col("block")
+    each = lambda n, f: F.transform(F.when(n > 0, F.sequence(none, n - 1)).otherwise(F.array().cast("array<int>")), f)
+    others = F.concat(
+        each(F.col("n0"), lambda k: group((k != b).cast("int"), F.least(k, b), F.greatest(k, b), (k < b).cast("int"))),
+        each(F.col("n1"), lambda k: group(F.lit(2), b, k, none)),
+    )
+    mains = each(F.col("n0"), lambda k: group(F.lit(2), k, b, one))
+    groups = F.when(F.col("whole"), F.array(group(none, none, none, F.col("side")))).when(F.col("side") == 0, others).otherwise(mains)
+    return rows.select("unit", F.explode(groups).alias("g"), "node", "label").select("unit", "g.*", "node", "label")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, kept, n_links (verified links of the row's text to others)."""
+    """One row per row of docs: doc_id, class_id, class_size, kept, n_links (of the row's text, among those that make the classes)."""
     return _classes(docs, threshold, bands, rows).drop("key")
 
 
@@ -255,33 +472,47 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return left.unionByName(some.dropDuplicates(["__long", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def _classes(
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS, star: int = STAR, unit_texts: int = UNIT, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     signed = scratch(signatures(docs, bands, rows), "near-signed")
-    texts = signed.groupBy("key").agg(F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("node"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"))
+    # A text's node is a hash of its key; where two keys share one, all but one get another.
+    texts = signed.groupBy("key", F.xxhash64("key").alias("node")).agg(F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("rep"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
     texts = scratch(texts, "near-texts")
-    banded = signed.where("size(bands) > 0").join(texts.select("node"), F.col("uid") == F.col("node"), "left_semi").select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
-    buckets = scratch(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead"), "near-buckets")
-    members = scratch(banded.join(buckets, "bucket"), "near-members")
-    pairs = scratch(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    met = members.select("node").distinct()
-    shingled = scratch(_shingled(docs, texts.join(maybe_broadcast(met), "node", "left_semi")), "near-shingled")
-    links = scratch(_verified(pairs, shingled, threshold), "near-links")
-    # What is left: texts of one bucket that aren't of one class yet. A bucket's largest class makes pairs with the others only.
-    label = components(links)
-    placed = members.join(maybe_broadcast(label), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    shares = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max_by("label", "n").alias("main")).where("classes > 1").select("bucket", "main")
-    placed = scratch(placed.join(maybe_broadcast(scratch(mixed, "near-mixed")), "bucket"), "near-placed")
-    others = placed.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    rest = others.join(placed, "bucket").where("label_x <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = scratch(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    links = scratch(links.unionByName(_verified(rest, shingled, threshold)), "near-links")
+    shared = scratch(texts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("key").alias("first")).where("k > 1").select("node", "first"), "near-shared")
+    signed = signed.withColumn("node", F.xxhash64("key"))
+    if not shared.isEmpty():
+        other = F.when(F.col("key") != F.col("first"), F.xxhash64("key", F.lit(1))).otherwise(F.col("node"))
+        texts, signed = (x.join(F.broadcast(shared), "node", "left").withColumn("node", other).drop("first") for x in (texts, signed))
+    banded = signed.select("node", F.explode("bands").alias("bucket"))
+    buckets = scratch(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("bucket", "lead"), "near-buckets")
+    members = scratch(_held_buckets(signed, buckets), "near-members")
+    # The texts that met others, once each.
+    met = texts.join(maybe_broadcast(members.select("node").distinct()), "node", "left_semi")
+    met = maybe_broadcast(met.select("node", F.col("rep_id").alias("met_id"), F.col("key").alias("met_key")))
+    found = _normal(docs)
+    found = found.join(met, (found["key"] == met["met_key"]) & found["doc_id"].eqNullSafe(met["met_id"])).groupBy("node").agg(F.first("norm").alias("norm"))
+    found = scratch(found, "near-found-texts")
+    pairs = members.where("node <> lead").select("lead", "node").distinct()
+    parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("parts"))
+    pairs, parts = scratch(pairs, "near-pairs"), scratch(parts, "near-stars")
+    stars = pairs.join(maybe_broadcast(parts), "lead").select("lead", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.lit(1).alias("member"), "node")
+    stars = stars.unionByName(parts.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("lead").alias("node")))
+    links = scratch(_star_links(stars.join(found, "node"), threshold), "near-links")
     label = components(links)
+    # What is left: buckets whose texts aren't all of one class.
+    placed = members.join(maybe_broadcast(label), "node", "left").select("bucket", "lead", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    here = scratch(placed.join(maybe_broadcast(scratch(mixed, "near-mixed")), "bucket"), "near-here")
+    if not here.isEmpty():
+        dealt = _blocks(here, texts.select("node", "size"), unit_texts, block_texts, block_bytes)
+        links = scratch(links.unionByName(_block_links(dealt.join(found, "node"), threshold)), "near-links")
+        label = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # Only texts that have copies or links need a row here.
     some = texts.join(maybe_broadcast(label), "node", "left").join(maybe_broadcast(ends), "node", "left").where("n > 1 or label is not null")
-    some = scratch(some.select("key", "node", "rep_id", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-some")
-    groups = some.groupBy("label").agg(F.coalesce(F.min_by("node", "rep_id"), F.min("node")).alias("keep"), F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
+    some = scratch(some.select("key", "rep", "rep_id", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-some")
+    groups = some.groupBy("label").agg(F.coalesce(F.min_by("rep", "rep_id"), F.min("rep")).alias("keep"), F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
     groups = scratch(groups, "near-groups")
     some = scratch(some.join(groups, "label").select("key", "keep", "class_id", "class_size", "n_links"), "near-classes")
     out = signed.select("uid", "doc_id", "key").join(some, "key", "left")

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import scratch, text_or_empty
-from gramloom.llm.tokens import chunks
+from gramloom.llm.common import chunks, scratch, text_or_empty
 
 #: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000

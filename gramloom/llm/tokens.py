@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from gramloom.llm.common import chunks
+
 #: Characters of a chunk: more find more pieces that are the same, and take more memory (about 60 bytes each).
 CHUNK_CHARS = 5_000_000
 #: Bytes of the longest piece that numpy merges; the library's time doesn't grow with the square of a piece.
@@ -209,7 +211,7 @@ class TokenIds:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK_CHARS):
             if len(self.met) > KNOWN_PIECES:
                 self._forget()
             fit = [k for k in range(a, b) if texts[k] and not _CONTRACTION.search(texts[k])]
@@ -227,15 +229,3 @@ def token_ids(path: str) -> TokenIds:
     if path not in _LOADED:
         _LOADED[path] = TokenIds(path)
     return _LOADED[path]
-
-
-def chunks(texts: list[str], most: int = CHUNK_CHARS):
-    """Slices of texts of about so many characters, one text at least."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
