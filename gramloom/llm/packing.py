@@ -1,9 +1,10 @@
 """Best-fit packing of documents into sequences under several capacities: tokens, documents and attention cost.
 
 A document's ids end with an end id; longer ones than a sequence are cut into full pieces after a first, shorter one.
-Pieces are dealt to tasks by a hash and packed there largest first, each into the open bin that fits under every
-capacity and has the smallest weighted residual norm (or the largest weighted dot product) after it; a task wastes one
-bin at most beyond what its own pieces need, so tasks are given tens of thousands of pieces.
+Pieces are dealt to tasks by a hash of the row and packed there largest first, each into the open bin that fits under
+every capacity and has the smallest weighted norm of its residuals after it (or the largest weighted dot product). A task
+wastes one bin at most beyond what its own pieces need, so tasks are given tens of thousands of pieces, whose open bins
+are looked at all at once.
 
 Defined cases: a null or empty text is one piece that holds the end id; rows with equal or null ids are packed on their
 own; pieces of one row may lie in different sequences; an empty table gives an empty result; other columns aren't read.
@@ -27,10 +28,14 @@ from gramloom.llm.tokens import token_ids
 SEQUENCE = 2048
 #: Pieces that one task packs.
 PIECES_A_TASK = 20_000
+#: What the residuals of tokens, documents and attention cost weigh in the choice of a bin; documents as if a sequence held
+#: an eighth of what its capacity says.
+WEIGHTS = (1.0, 64.0, 1.0)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PACKED = f"{PIECES}, sequence_id long, offset long"
+_DEALT = pa.schema([*_PIECES, ("uid", pa.int64())])
 _PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -41,69 +46,44 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def best_fit(
-    items: Iterable[tuple[int, int]], capacity: tuple[int, int, int] = (SEQUENCE, SEQUENCE, SEQUENCE**2), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm"
+    items: Iterable[tuple[int, int]], capacity: tuple[int, int, int] = (SEQUENCE, SEQUENCE, SEQUENCE**2), weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm"
 ) -> list[list[int]]:
     """Bins of item numbers. items: (number, tokens); each costs its tokens, one document, and its tokens squared.
 
-    Open bins are listed by their residual tokens. From the best residual on, a bin's other residuals are scored too,
-    until the tokens' part alone is no better than the best score.
+    Items come largest first; each goes to the first of the open bins that fit under every capacity and have the smallest
+    weighted norm of what would be left ("norm") or the largest weighted product of needs and residuals ("dot").
     """
-    size = [max(1, c) for c in capacity]
+    size = np.maximum(capacity, 1).astype(float)
+    scale = np.array(weights) / size**2
     bins: list[list[int]] = []
-    rest: list[tuple[int, int, int]] = []
-    levels: list[list[int]] = [[] for _ in range(capacity[0] + 1)]
-    open_levels = 0  # bit t: levels[t] has a bin
-    plain = not weights[1] and not weights[2]
+    rest = np.empty((3, 64))  # residuals of the open bins, and which bins they are
+    which = np.empty(64, np.int64)
+    n_open = shut = 0
     for number, tokens in sorted(items, key=lambda x: (-x[1], x[0])):
-        need = (tokens, 1, tokens * tokens)
-        if any(n > c for n, c in zip(need, capacity, strict=True)):
+        need = np.array((tokens, 1, tokens * tokens), float)
+        if (need > capacity).any():
             raise ValueError(f"an item of {tokens} tokens is larger than a bin")
-        best, best_score = -1, math.inf
-        left = open_levels >> tokens
-        t = tokens
-        while left:
-            if rule == "norm":
-                step = (left & -left).bit_length() - 1
-                t += step
-                left >>= step + 1
-                at, t = t, t + 1
-                bound = weights[0] * ((at - tokens) / size[0]) ** 2
-            else:
-                at = tokens + left.bit_length() - 1
-                left &= ~(1 << (at - tokens))
-                bound = -(weights[0] * tokens * at / size[0] ** 2 + weights[1] / size[1] + weights[2] * need[2] / size[2])
-            if bound >= best_score:
-                break
-            for b in reversed(levels[at]):
-                r = rest[b]
-                if r[1] < 1 or r[2] < need[2]:
-                    continue
-                if rule == "norm":
-                    score = sum(w * ((x - n) / c) ** 2 for w, x, n, c in zip(weights, r, need, size, strict=True))
+        left = rest[:, :n_open] - need[:, None]
+        score = scale @ (left * left) if rule == "norm" else -((scale * need) @ rest[:, :n_open])
+        score[left.min(0) < 0] = np.inf
+        at = int(score.argmin()) if n_open else 0
+        if not n_open or score[at] == np.inf:
+            if n_open == rest.shape[1]:
+                if 2 * shut >= n_open:  # bins that are full make room
+                    keep = np.flatnonzero(rest[0, :n_open] >= 0)
+                    rest[:, : len(keep)], which[: len(keep)] = rest[:, keep], which[keep]
+                    n_open, shut = len(keep), 0
                 else:
-                    score = -sum(w * n * x / c**2 for w, x, n, c in zip(weights, r, need, size, strict=True))
-                if score < best_score:
-                    best, best_score = b, score
-                    if plain:
-                        break
-        if best < 0:
-            best = len(bins)
+                    rest, which = np.concatenate([rest, np.empty_like(rest)], 1), np.concatenate([which, np.empty_like(which)])
+            at = n_open
+            rest[:, at], which[at] = capacity, len(bins)
             bins.append([])
-            rest.append(capacity)
-        else:
-            level = levels[rest[best][0]]
-            if level[-1] == best:
-                level.pop()
-            else:
-                level.remove(best)
-            if not level:
-                open_levels &= ~(1 << rest[best][0])
-        bins[best].append(number)
-        rest[best] = tuple(x - n for x, n in zip(rest[best], need, strict=True))
-        t = rest[best][0]
-        if t and rest[best][1]:
-            levels[t].append(best)
-            open_levels |= 1 << t
+            n_open += 1
+        bins[which[at]].append(number)
+        rest[:, at] -= need
+        if rest[0, at] < 1 or rest[1, at] < 1 or rest[2, at] < 1:
+            rest[0, at] = -1
+            shut += 1
     return bins
 
 
@@ -122,15 +102,16 @@ def piece_rows(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQ
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, docs_a_sequence: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, docs_a_sequence: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    docs_a_sequence, attention (the sum of squared piece lengths): further capacities of a sequence; None: never binding.
+    docs_a_sequence, attention (the sum of squared piece lengths): further capacities of a sequence; None: what the tokens
+    allow at most. Their residuals weigh in the choice of a bin in any case.
     """
     capacity = (most, docs_a_sequence or most, attention or most * most)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(list(batches), _PIECES).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        part = pa.Table.from_batches(list(batches), _DEALT).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("uid", "ascending")]).drop(["uid"])
         lengths = part["length"].to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         base = TaskContext.get().partitionId() << 32
@@ -141,6 +122,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE,
                 at += lengths[k]
         yield from pa.Table.from_arrays([*part.columns, pa.array(sequence), pa.array(offset)], schema=_PACKED).to_batches()
 
-    pieces = scratch(piece_rows(docs, tokenizer, end_id, most), "pack-pieces")
+    pieces = scratch(piece_rows(docs, tokenizer, end_id, most).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     tasks = max(1, math.ceil(pieces.count() / PIECES_A_TASK))
-    return pieces.repartition(tasks, "doc_id", "piece").mapInArrow(fill, PACKED)
+    return pieces.repartition(tasks, "uid").mapInArrow(fill, PACKED)  # by row: rows that share an id, or have none, are dealt out too
