@@ -260,9 +260,10 @@ def test_top_k(spark):
     vector = lambda: [r.choice([0.0, -1.5, 0.25, r.uniform(-2, 2)]) for _ in range(6)]
     rows = [(k, vector()) for k in range(160)] + [(200, None), (250, []), (300, [1.0, None]), (350, [float("nan")] * 6), (400, [float("inf")] * 6), (450, [0.5]), (None, vector()), (10, vector())]
     rows += [(500 + k, [1.0] * 6) for k in range(20)]  # ties
+    rows += [(600, [1e17, 1.0]), (601, [-3e18]), (650, []), (700, [2.0**60, -(2.0**60), 3.0])]  # beyond 2 ** 53
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS x", "3 AS rank")
     whole = topk.whole_vectors(table)
-    good = [(k, [math.floor(256 * float(np.float32(x))) for x in v]) for k, v in rows if k is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(k, [math.floor(256 * float(np.float32(x))) for x in v]) for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for block, task_rows in ((8192, 16384), (3, 40)):
         got = defaultdict(list)
         for t in topk.top_k(whole, whole.where("vec_id % 50 = 0"), 5, block, task_rows).collect():
@@ -270,7 +271,7 @@ def test_top_k(spark):
         want = {}
         for q, x in good:
             if q % 50 == 0:
-                scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), v) for v, y in good if v != q)[:5]
+                scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y, strict=False)))), v) for v, y in good if v != q)[:5]
                 want[q] = [(k, v, -s) for k, (s, v) in enumerate(scores, 1)]
         assert {q: sorted(x) for q, x in got.items()} == want
     assert topk.top_k(whole.where("false"), whole.where("false")).count() == 0
@@ -281,10 +282,15 @@ def test_top_k_prunes_and_stays_exact():
     rows = (r.normal(size=(4000, 8)) * 100).astype(np.int64)
     rows[:300] += 500  # one range of documents is better than the rest
     ids = np.arange(4000)
-    q, row, score, scored = topk.best_in(ids[:40], np.abs(rows[:40]), ids, rows, 5, 100)
+    best = topk.Best(ids[:40], np.abs(rows[:40]).astype(float), 5)
+    best.look(ids, rows.astype(float), 100)
     full = np.abs(rows[:40]) @ rows.T
     full[np.arange(40), np.arange(40)] = np.iinfo(np.int64).min
-    assert np.array_equal(np.sort(score.reshape(40, 5), 1), np.sort(full, 1)[:, -5:]) and scored < 40 * 40 / 2
+    assert np.array_equal(np.sort(best.score, 1), np.sort(full, 1)[:, -5:]) and best.scored < 40 * 40 / 2
+    parts = topk.Best(ids[:40], np.abs(rows[:40]).astype(float), 5)
+    for at in range(0, 4000, 900):  # rows that come in parts
+        parts.look(ids[at : at + 900], rows[at : at + 900].astype(float), 100)
+    assert np.array_equal(parts.score, best.score) and np.array_equal(parts.id, best.id)
 
 
 # --- the language model -----------------------------------------------------------------------------------------------
