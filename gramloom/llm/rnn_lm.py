@@ -4,14 +4,15 @@ Words are bytes between white space, A-Z in lower case; each text closes with an
 crc32 of the id's text isn't 1 modulo 5. What is counted covers all of them: every word's count, by one shuffle of
 counts that each task has summed up before.
 
+The texts are read once: each becomes the network's symbols, its counted figures and its rarer words, in a scratch table.
 The network reads a word (of the HEAD most frequent ones, or else the class of its shape), and gives a chance to each
 class: bins of frequent words, whose words have a softmax of their own, or a shape of rarer words, whose words have the
 chance (count + 0.5) / (counts + 0.5 (words + 1)) of their shape, one share being left for what was never seen. It's
 trained by truncated backpropagation through time, first on a bounded sample on the driver, then by every task in one pass
-over all training documents of its part of the corpus, and the tasks' weights are averaged in a tree.
+over all training documents of its part of the corpus, and the tasks' weights are averaged in a tree. Slopes end at a
+window's start; the state goes on through a whole text, in training as in scoring.
 
-Scoring carries the state over all windows of a text, so that the score is of the whole text. The counts of the KNOWN most
-frequent words are sent to the tasks; rarer words of a text are joined to the table of counts.
+The counts of the KNOWN most frequent words are sent to the tasks; rarer words of a text are joined to the table of counts.
 
 Defined cases: a null or empty text is its end alone; a null id counts as empty text (crc32 0: training); rows with equal
 ids are trained on and scored on their own; without training documents every word is unknown; an empty table gives an
@@ -23,7 +24,7 @@ from __future__ import annotations
 import dataclasses
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,13 +37,16 @@ from gramloom.llm.common import chunks, scratch, text_or_empty
 
 #: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000
-HIDDEN, BINS = 32, 40
-WINDOW, LANES = 16, 256
-#: Rows whose logits are computed at once; words that go through the network together (longer texts then go beside many
-#: short ones, not alone); and words after which training takes a text as the next one (scoring never does).
-ROWS, TOGETHER, TRAIN_RUN = 1024, 2_000_000, 2048
+HIDDEN, BINS = 16, 40
+#: Steps of a window, and lanes of texts that go through the network side by side.
+WINDOW, LANES = 32, 256
+#: Rows whose logits are computed at once, and words that go through the network together (so that a long text goes beside
+#: many short ones, not alone).
+ROWS, TOGETHER = 1024, 6_000_000
 #: Documents of the sample that the driver starts from, and the passes over it.
 SAMPLE_DOCS, SAMPLE_PASSES = 400, 4
+#: Characters of texts that are read together.
+CHARS = 2_000_000
 RATE = 0.08
 END = b"\n"
 
@@ -300,24 +304,42 @@ class Trainer:
             h = self.window(inputs[at : at + WINDOW], targets[at : at + WINDOW], opens[at : at + WINDOW], going[at : at + WINDOW], h)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, opens: np.ndarray, going: np.ndarray, h: np.ndarray) -> np.ndarray:
-        v, w, past = self.v, self.w, []
-        for t in range(len(inputs)):
-            n = going[t]
-            before = h[:n].copy()
-            before[opens[t, :n]] = 0
-            *parts, h = _cell(w, w["embed"][inputs[t, :n]], before)
-            past.append((before, *parts))
-        there = np.arange(inputs.shape[1]) < going[:, None]
-        states = np.concatenate([p[3] + p[1] * (p[0] - p[3]) for p in past])
-        goal = targets[there]
-        kind = _class_of(v, goal)
+        v, w = self.v, self.w
+        steps, n, hidden = len(inputs), int(going[0]), w["state"].shape[0]
+        kind_of, both = w["state"].dtype, slice(0, 2 * hidden)
+        inputs, goes = inputs[:, :n], (~opens[:, :n]).astype(kind_of)[..., None]
+        # Gates, new values and states of all steps; a lane that has ended goes on, but nothing of that is learnt.
+        gates, new, hu, before, after = (np.empty((steps, n, k * hidden), kind_of) for k in (2, 1, 1, 1, 1))
+        x = w["embed"][inputs]
+        h = h[:n]
+        for t in range(steps):
+            np.multiply(h, goes[t], out=before[t])
+            got = before[t] @ w["state"]
+            gate = np.add(x[t, :, both], got[:, both], out=gates[t])
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            hu[t] = got[:, 2 * hidden :]
+            value = np.multiply(gate[:, hidden:], hu[t], out=new[t])
+            value += x[t, :, 2 * hidden :]
+            np.tanh(value, out=value)
+            h = np.subtract(before[t], value, out=after[t])
+            h *= gate[:, :hidden]
+            h += value
+        keep, reset = gates[..., :hidden], gates[..., hidden:]
+        there = None if going[-1] == n else np.flatnonzero((np.arange(n) < going[:, None]).ravel())
+        states, goal = after.reshape(-1, hidden), targets[:, :n].ravel()
+        if there is not None:
+            states, goal = states[there], goal[there]
+        kind = _class_of(v, goal).astype(np.int16)
         wrong = states @ w["class"]
         wrong += w["class_bias"]
         wrong, total = _raised(wrong)
         wrong /= total[:, None]
         wrong[np.arange(len(goal)), kind] -= 1
         slope = wrong @ w["class"].T
-        steps = [("class", states.T @ wrong, slice(None)), ("class_bias", np.ones(len(wrong), wrong.dtype) @ wrong, slice(None))]
+        found = [("class", states.T @ wrong, slice(None)), ("class_bias", np.ones(len(wrong), wrong.dtype) @ wrong, slice(None))]
         by = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
         for b in range(v.n_bins):
@@ -330,38 +352,42 @@ class Trainer:
                 p /= total[:, None]
                 p[np.arange(len(rows)), goal[rows] - a] -= 1
                 slope[rows] += p @ w["word"][a:z]
-                steps += [("word", p.T @ own, slice(a, z)), ("word_bias", np.ones(len(p), p.dtype) @ p, slice(a, z))]
+                found += [("word", p.T @ own, slice(a, z)), ("word_bias", np.ones(len(p), p.dtype) @ p, slice(a, z))]
+        if there is not None:
+            whole = np.zeros((steps * n, hidden), slope.dtype)
+            whole[there] = slope
+            slope = whole
+        slope = slope.reshape(steps, n, hidden)
         # Back through the window; what lies before it is left as it is.
-        ends = np.cumsum(going)
-        later = np.zeros((0, h.shape[1]), np.float32)
-        state_slope = np.zeros_like(w["state"])
-        inner = []
-        for t in range(len(inputs) - 1, -1, -1):
-            before, keep, reset, new, hu = past[t]
-            d = slope[ends[t] - going[t] : ends[t]].copy()
-            d[: len(later)] += later
-            d_new = d * (1 - keep) * (1 - new * new)
-            d_keep = d * (before - new) * keep * (1 - keep)
-            d_reset = d_new * hu * reset * (1 - reset)
-            to_state = np.concatenate([d_keep, d_reset, d_new * reset], 1)
-            state_slope += before.T @ to_state
-            inner.append(np.concatenate([d_keep, d_reset, d_new], 1))
-            later = d * keep + to_state @ w["state"].T
-            later[opens[t, : going[t]]] = 0
-        ids, slopes = inputs[there], np.concatenate(inner[::-1])
-        by = np.argsort(ids, kind="stable")
+        to_new = (1 - keep) * (1 - new * new)
+        to_keep = (before - new) * keep
+        to_keep *= 1 - keep
+        to_reset = hu * reset
+        to_reset *= 1 - reset
+        inner, to_state = np.empty((2, steps, n, 3 * hidden), kind_of)
+        later = np.zeros((n, hidden), kind_of)
+        for t in range(steps - 1, -1, -1):
+            d = np.add(slope[t], later, out=later)
+            d_new = np.multiply(d, to_new[t], out=inner[t, :, 2 * hidden :])
+            np.multiply(d, to_keep[t], out=inner[t, :, :hidden])
+            np.multiply(d_new, to_reset[t], out=inner[t, :, hidden : 2 * hidden])
+            to_state[t, :, both] = inner[t, :, both]
+            np.multiply(d_new, reset[t], out=to_state[t, :, 2 * hidden :])
+            d *= keep[t]
+            d += to_state[t] @ w["state"].T
+            d *= goes[t]
+            later = d
+        found.append(("state", before.reshape(-1, hidden).T @ to_state.reshape(-1, 3 * hidden), slice(None)))
+        ids, slopes = inputs.ravel(), inner.reshape(-1, 3 * hidden)
+        by = np.argsort(ids.astype(np.uint16) if v.head + SHAPES < 65536 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[by], prepend=-1))
-        steps += [("state", state_slope, slice(None)), ("embed", np.add.reduceat(slopes[by], first), ids[by][first])]
-        for name, x, rows in steps:
+        found.append(("embed", np.add.reduceat(slopes[by], first), ids[by][first]))
+        for name, x, rows in found:
             self._step(name, x, rows)
         return h
 
 
-def _runs(doc: np.ndarray) -> list[np.ndarray]:
-    return [doc[at : at + TRAIN_RUN] for at in range(0, len(doc), TRAIN_RUN)]
-
-
-def _groups(docs: list[np.ndarray], most: int = TOGETHER) -> Iterator[list[np.ndarray]]:
+def _groups(docs: Iterable[np.ndarray], most: int = TOGETHER) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for d in docs:
         held.append(d)
@@ -405,32 +431,82 @@ def _averaged(rows: DataFrame, tasks: int, fan_in: int = 32) -> np.ndarray | Non
     return np.concatenate([np.array(x, np.float32) for x in got["x"].to_pylist()]) if got.num_rows else None
 
 
+_READ = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, rare array<struct<word: binary, k: long>>, symbols array<int>"
+
+
+def read(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """What is known of each row of docs(doc_id, text): uid, doc_id, held_out, n_tokens, and of its known words n_known and
+
+    base (sum of the logs of c + 0.5, less all words' share of the denominator), tail (the same within shapes), rare (its
+    other words with their numbers), symbols (the network's).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    rare_of = pa.struct([("word", pa.binary()), ("k", pa.int64())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("rare", pa.list_(rare_of)), ("symbols", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        reader = Reader(v)
+        logs = np.log10(v.counts + 0.5)
+        for batch in batches:
+            for at, end in chunks(batch.column("text").to_pylist(), CHARS):
+                part = batch.slice(at, end - at)
+                symbols, columns, rare_words, rare_counts, rare_ends = [], [[] for _ in range(3)], [], [], [0]
+                for text in part.column("text").to_pylist():
+                    s, places, rare = reader.read(text)
+                    symbols.append(s.astype(np.int32))
+                    seen = places[places >= 0]
+                    tail = s[s >= v.head] - v.head
+                    of_tail = logs[places[(places >= 0) & (s >= v.head)]].sum() - v.shape_log[tail].sum()
+                    for column, x in zip(columns, (int((v.counts[seen] > 0).sum()), float(logs[seen].sum() - v.base_log * len(s)), float(of_tail)), strict=True):
+                        column.append(x)
+                    counted = Counter(rare)
+                    rare_words += counted
+                    rare_counts += counted.values()
+                    rare_ends.append(len(rare_words))
+                lists = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], fields=list(rare_of)))
+                sizes = [len(s) for s in symbols]
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(symbols)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(sizes, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), lists, flat], schema=schema)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, _READ)
+
+
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     """docs: the training rows. Weights of the network, first fitted to a sample on the driver, then by all tasks to all rows."""
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), text_or_empty().alias("text"))
-    reader = Reader(v)
-    first = rows.orderBy("h", "text").limit(SAMPLE_DOCS).toArrow()["text"].to_pylist()
+    return fit(scratch(read(docs, v), "lm-read"), v)
+
+
+def fit(rows: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """As train(), of rows of read()."""
+    spark, end = rows.sparkSession, v.words.index(END)
+    first = rows.orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "n_tokens", "base", "tail").limit(SAMPLE_DOCS).select("symbols").toArrow()["symbols"]
     start = Trainer(v, start_weights(v))
-    sample = [run for t in first for run in _runs(reader.read(t)[0])]
+    sample = [d for part in first.chunks for d in _symbols(part)]
     for _ in range(SAMPLE_PASSES):
-        start.texts(sample, reader.end, lanes=32)
+        start.texts(sample, end, lanes=32)
     sent = spark.sparkContext.broadcast((v, start.w, start.squares))
     schema = pa.schema([("task", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("x", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w, squares = sent.value
-        trainer, own, n = Trainer(v, w, squares), Reader(v), 0
-        for batch in batches:
-            for part in _groups([run for t in batch.column(0).to_pylist() for run in _runs(own.read(t)[0])]):
-                trainer.texts(part, own.end)
-                n += sum(map(len, part))
+        trainer, n = Trainer(v, w, squares), 0
+        for part in _groups(d for batch in batches for d in _symbols(batch.column(0))):
+            trainer.texts(part, end)
+            n += sum(map(len, part))
         if n:
             flat = _flat(trainer.w)
             for b, at in enumerate(range(0, len(flat), BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[at : at + BLOCK]], pa.list_(pa.float32()))], schema=schema)
 
-    fitted = scratch(rows.select("text").mapInArrow(run, "task int, block int, n long, x array<float>"), "lm-weights")
+    fitted = scratch(rows.select("symbols").mapInArrow(run, "task int, block int, n long, x array<float>"), "lm-weights")
     tasks = fitted.agg(F.max("task")).first()[0]
     flat = None if tasks is None else _averaged(fitted, tasks + 1)
     return start.w if flat is None else _unflat(flat, start.w)
@@ -442,41 +518,39 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 def score(docs: DataFrame, head: int = HEAD, known: int = KNOWN) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    training = rows.where(~held_out())
-    counts = scratch(count_words(training), "lm-counts")
+    counts = scratch(count_words(docs.select("doc_id", "text").where(~held_out())), "lm-counts")
     v = vocabulary(counts, head, known)
-    sent = spark.sparkContext.broadcast((v, train(training, v)))
-    rare_type = "rare array<binary>"
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
+    rows = scratch(read(docs, v), "lm-read")
+    sent = spark.sparkContext.broadcast((v, fit(rows.where("not held_out"), v)))
+    end = v.words.index(END)
+    plain = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = sent.value
-        reader = Reader(v)
-        logs = np.log10(v.counts + 0.5)
+
+        def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
+            symbols = [s for chunk in part["symbols"].chunks for s in _symbols(chunk)]
+            total = text_log_chances(v, w, symbols, end) / math.log(10) + part["tail"].to_numpy()
+            return pa.Table.from_arrays([*(part[c] for c in plain), pa.array(total)], schema=schema).combine_chunks().to_batches()[0]
+
+        held, n = [], 0
         for batch in batches:
-            for at, end in chunks(batch.column("text").to_pylist(), 6 * TOGETHER):
-                part = batch.slice(at, end - at)
-                symbols, columns = [], [[] for _ in range(4)]
-                for text in part.column("text").to_pylist():
-                    s, places, rare = reader.read(text)
-                    symbols.append(s.astype(np.int32))
-                    seen = places[places >= 0]
-                    tail = s[s >= v.head] - v.head
-                    of_tail = logs[places[(places >= 0) & (s >= v.head)]].sum() - v.shape_log[tail].sum()
-                    for column, x in zip(columns, (int((v.counts[seen] > 0).sum()), float(logs[seen].sum() - v.base_log * len(s)), float(of_tail), rare), strict=True):
-                        column.append(x)
-                total = text_log_chances(v, w, symbols, reader.end) / math.log(10) + np.array(columns[2])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array([len(s) for s in symbols], pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(total), pa.array(columns[3], pa.list_(pa.binary()))], schema=schema
-                )
-
-    scored = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out().alias("held_out"), "text")
-    scored = scratch(scored.mapInArrow(run, f"uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, {rare_type}"), "lm-scored")
-    # Words outside the known ones: their counts are looked up by a join, and summed for each text.
-    rare = scored.select("uid", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("found"))
-    out = scored.drop("rare").join(rare, "uid", "left")
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column("symbols").values)
+            if n >= TOGETHER:
+                yield scored(held)
+                held, n = [], 0
+        if held:
+            yield scored(held)
+
+    scored_rows = scratch(rows.select(*plain, "tail", "symbols").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "lm-scored")
+    # Words outside the known ones: their counts are looked up by a join, once for each text that has them, and summed by text.
+    rare = rows.select("uid", F.explode("rare").alias("x")).select("uid", "x.word", "x.k").join(counts.select("word", "c"), "word", "left")
+    rare = rare.groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"))
+    out = scored_rows.join(rare, "uid", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),

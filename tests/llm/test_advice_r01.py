@@ -113,3 +113,30 @@ def test_near_copies_with_a_repeated_passage_are_candidates(spark):
     assert all(len(a & b) / len(a | b) >= 0.8 for a, b in shared)
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, texts)).collect()}
     assert [got[i] for i in range(40)] == [i - i % 2 for i in range(40)]
+
+
+def test_training_carries_the_state_through_a_long_text(monkeypatch):
+    from test_index_operators import small_vocabulary
+
+    v = small_vocabulary()
+    w = rnn_lm.start_weights(v, 8)
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, v.head, n) for n in (200, 50, 3)]
+    seen = []
+
+    class Still(rnn_lm.Trainer):
+        def _step(self, name, slope, rows=slice(None)):
+            pass
+
+        def window(self, inputs, targets, opens, going, h):
+            seen.append(super().window(inputs, targets, opens, going, h))
+            return seen[-1]
+
+    Still(v, w).texts(docs, 0, lanes=2)
+    h, before = np.zeros((1, 8), np.float32), 0
+    for at, s in enumerate(docs[0], 1):
+        h = rnn_lm._cell(w, w["embed"][[before]], h)[-1]
+        before = s
+        if at % rnn_lm.WINDOW == 0:
+            assert np.allclose(seen[at // rnn_lm.WINDOW - 1][0], h[0], atol=1e-5)
+    assert len(seen) == -(-200 // rnn_lm.WINDOW)
