@@ -4,10 +4,11 @@ A source's target is min(cap, level * weight), where the level makes the targets
 clamping sources at their cap and resharing the excess by weight. A source is then taken floor(target / size) whole times,
 and for the rest the documents that come first in a seeded order, up to the one that brings the sum nearest to the target.
 That cut is found through two histograms of the order's hash (4096 cells each), so that no window sees more of a source
-than its documents in one of 16 million cells, however large the source.
+than its documents in one of 16 million cells, and there rows of one id and size as one.
 
-Defined cases: a null text has size 0; null is a source, the last one; rows with equal ids are ordered by their place in
-the table; a source of size 0 has target 0; an empty table gives an empty result; other columns aren't looked at.
+Defined cases: a null text has size 0; null is a source, the last one; rows with equal ids are ordered by size, then by
+their place in the table, and each is taken on its own; a source of size 0 has target 0; an empty table gives an empty
+result; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -42,16 +43,30 @@ def water_fill(sources: DataFrame, budget: float, epochs: float) -> DataFrame:
     return s.select("source", F.col("size").alias("source_size"), F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, epochs: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken. how: see planned()."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    rows = scratch(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    return planned(rows, **how).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """docs with each row as often as the mix takes it (none, once or more); a row without words is never taken."""
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    wide = scratch(wide.withColumn("uid", F.monotonically_increasing_id()), "mix-whole")  # from here on a row can be told from all others
+    taken = planned(wide, **how).where("size > 0 and times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def planned(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, epochs: float = 2.0, seed: str = "mix-1") -> DataFrame:
+    """rows(doc_id, source, size, uid), stored ones, with source_size, target and times (how often a row is taken).
 
     weights are dealt to the sources in code-point order, again and again; budget: share of all sizes to take; epochs:
-    the most repetitions of a source.
+    the most repetitions of a source. uid is a row's place, of monotonically_increasing_id().
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
-    rows = scratch(rows.select("*", key.alias("h"), F.monotonically_increasing_id().alias("uid")), "mix-rows")
-    sized = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    narrow = rows.select("doc_id", "source", "size", "uid", "h")
+    sized = narrow.groupBy("source").agg(F.sum("size").alias("size"))
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     sized = sized.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
     plan = water_fill(sized, budget, epochs).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -69,33 +84,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: f
         sums = sums.select("s", "cell", "rest", (run - F.col("n")).alias("start"), run.alias("stop"))
         return sums.where("start <= rest and rest < stop").select("s", F.col("cell").alias(f"cell{level}"), F.col("start").alias(f"before{level}"))
 
-    first = scratch(cut(place_in(rows, plan).withColumn("before", F.lit(0).cast("long")), 0), "mix-cells")
-    narrow = plan.join(first.withColumnRenamed("s", "s0"), F.col("s").eqNullSafe(F.col("s0"))).drop("s0")
-    inside = place_in(rows, narrow, F.substring(rows["h"], 1, CELL_HEX) == narrow["cell0"]).withColumn("before", F.col("before0"))
+    first = scratch(cut(place_in(narrow, plan).withColumn("before", F.lit(0).cast("long")), 0), "mix-cells")
+    inner = plan.join(first.withColumnRenamed("s", "s0"), F.col("s").eqNullSafe(F.col("s0"))).drop("s0")
+    inside = place_in(narrow, inner, F.substring(narrow["h"], 1, CELL_HEX) == inner["cell0"]).withColumn("before", F.col("before0"))
     second = scratch(cut(inside, 1), "mix-cells")
-    narrow = narrow.join(second.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).drop("s1")
-    last = place_in(rows, narrow, (F.substring(rows["h"], 1, CELL_HEX) == narrow["cell0"]) & (F.substring(rows["h"], 1 + CELL_HEX, CELL_HEX) == narrow["cell1"]))
-    order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("uid")]
-    run = F.sum("size").over(Window.partitionBy("s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before1")
-    last = last.withColumn("nearer", run - F.col("size") / 2 <= F.col("rest"))
-    ends = last.groupBy("s").agg(F.first(F.concat("cell0", "cell1")).alias("cells"), F.max(F.when(F.col("nearer"), F.struct("h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))).alias("end"))
-    plan = plan.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
-    plan = scratch(plan, "mix-cuts")
+    inner = inner.join(second.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).drop("s1")
+    last = place_in(narrow, inner, (F.substring(narrow["h"], 1, CELL_HEX) == inner["cell0"]) & (F.substring(narrow["h"], 1 + CELL_HEX, CELL_HEX) == inner["cell1"]))
+    # Rows of one id and size are one step of n equal ones, of which the first k are within the rest; the last step with any is the end.
+    steps = last.groupBy("s", "rest", "before1", "cell0", "cell1", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("s").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.col("size") * F.col("n")).over(order) + F.col("before1") - F.col("size") * F.col("n")
+    steps = steps.withColumn("k", F.when(F.col("size") > 0, F.greatest(F.least(F.floor((F.col("rest") - start) / F.col("size") + 0.5), F.col("n")), F.lit(0))).otherwise(F.lit(0)))
+    key = F.struct("h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size")
+    ends = steps.groupBy("s").agg(F.first(F.concat("cell0", "cell1")).alias("cells"), F.max(F.when(F.col("k") > 0, F.struct(key.alias("key"), "k", "n"))).alias("end"))
+    ends = scratch(ends.select("s", "cells", F.col("end.key").alias("end"), F.col("end.k").alias("k"), F.col("end.n").alias("n")), "mix-ends")
+    ends = ends.join(_kth(narrow, ends, n_sources).withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
+    plan = scratch(plan.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "mix-cuts")
     out = rows.join(maybe_broadcast(plan, n_sources), rows["source"].eqNullSafe(plan["s"]))
-    here = F.struct(F.col("h"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))
-    more = (F.substring("h", 1, 2 * CELL_HEX) < F.col("cells")) | (F.col("end").isNotNull() & (here <= F.col("end")))
-    taken = F.col("size") * (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    here = F.struct(F.col("h"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("size"))
+    at_end = (here == F.col("end")) & (F.col("last_uid").isNull() | (F.col("uid") <= F.col("last_uid")))
+    more = (F.substring("h", 1, 2 * CELL_HEX) < F.col("cells")) | (F.col("end").isNotNull() & ((here < F.col("end")) | at_end))
+    return out.withColumn("times", F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).select(*rows.columns, "source_size", "target", "times")
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it (none, once or more); a row without words is never taken."""
-    found = mix(docs, **how).select("doc_id", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0).alias("times"))
-    found = scratch(found, "mix-times")
-    ids = found.groupBy("doc_id").agg(F.min("times").alias("low"), F.max("times").alias("high"), F.count(F.lit(1)).alias("n"))
-    odd = ids.where("low != 1 or high != 1")
-    # Equal ids are equal draws but for the row where the source's rest runs out; they are taken by the lower count.
-    odd = odd.select(F.col("doc_id").alias("__id"), F.col("low").alias("__times"))
-    out = docs.join(maybe_broadcast(odd), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__times", F.lit(1)))))
-    return out.where("__copy > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def _kth(rows: DataFrame, ends: DataFrame, n_sources: int) -> DataFrame:
+    """s, last_uid: the place of the k-th of the n rows that are equal at a source's end, where k < n.
+
+    Counts by the partition in which rows were written come first, so that only one such partition's rows are numbered.
+    """
+    some = ends.where("k < n")
+    key = F.struct(rows["h"], rows["doc_id"].isNull().alias("no_id"), rows["doc_id"], rows["size"])
+    equal = rows.join(maybe_broadcast(some, n_sources), rows["source"].eqNullSafe(some["s"]) & (key == some["end"])).select("s", "uid", "k", F.shiftright("uid", 33).alias("part"))
+    parts = equal.groupBy("s", "k", "part").agg(F.count(F.lit(1)).alias("n"))
+    run = F.sum("n").over(Window.partitionBy("s").orderBy("part"))
+    parts = parts.withColumn("before", run - F.col("n")).where("before < k and k <= before + n").select(F.col("s").alias("s3"), F.col("part").alias("part3"), (F.col("k") - F.col("before")).alias("j"))
+    found = equal.join(maybe_broadcast(scratch(parts, "mix-parts"), n_sources), F.col("s").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("part3")))
+    numbered = found.withColumn("place", F.row_number().over(Window.partitionBy("s").orderBy("uid")))
+    return numbered.where("place = j").select("s", F.col("uid").alias("last_uid"))
