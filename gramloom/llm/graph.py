@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import maybe_broadcast, scratch
+from gramloom.llm.common import maybe_broadcast, release, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,17 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch(both, "links")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    n = labels.count()
+    labels = stored = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        known = maybe_broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), n)
+        known = maybe_broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("near")))
         least = both.join(known, "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(maybe_broadcast(least.withColumnRenamed("a", "node"), n), "node").select("node", "label", F.least("label", "near").alias("new"))
+        step = labels.join(maybe_broadcast(least.withColumnRenamed("a", "node")), "node").select("node", "label", F.least("label", "near").alias("new"))
         step = scratch(step, "labels")
         far = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        jumped = step.join(maybe_broadcast(far, n), "new").select("node", "label", F.least("new", "far").alias("new"))
+        jumped = step.join(maybe_broadcast(far), "new").select("node", "label", F.least("new", "far").alias("new"))
         jumped = scratch(jumped, "labels")
         changed = not jumped.where("new <> label").isEmpty()
-        labels = jumped.select("node", F.col("new").alias("label"))
+        release(stored, step)
+        labels, stored = jumped.select("node", F.col("new").alias("label")), jumped
         if not changed:
+            release(both)
             return labels

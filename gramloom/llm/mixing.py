@@ -71,8 +71,7 @@ def planned(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budge
     sized = sized.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
     plan = water_fill(sized, budget, epochs).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = scratch(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "s"), "mix-plan")
-    n_sources = plan.count()
-    place_in = lambda r, p, more=F.lit(True): r.join(maybe_broadcast(p, n_sources), r["source"].eqNullSafe(p["s"]) & more)
+    place_in = lambda r, p, more=F.lit(True): r.join(maybe_broadcast(p), r["source"].eqNullSafe(p["s"]) & more)
 
     def cell(level: int) -> Column:
         return F.substring("h", 1 + CELL_HEX * level, CELL_HEX)
@@ -98,26 +97,26 @@ def planned(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budge
     key = F.struct("h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size")
     ends = steps.groupBy("s").agg(F.first(F.concat("cell0", "cell1")).alias("cells"), F.max(F.when(F.col("k") > 0, F.struct(key.alias("key"), "k", "n"))).alias("end"))
     ends = scratch(ends.select("s", "cells", F.col("end.key").alias("end"), F.col("end.k").alias("k"), F.col("end.n").alias("n")), "mix-ends")
-    ends = ends.join(_kth(narrow, ends, n_sources).withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
+    ends = ends.join(_kth(narrow, ends).withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
     plan = scratch(plan.join(ends.withColumnRenamed("s", "e"), F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "mix-cuts")
-    out = rows.join(maybe_broadcast(plan, n_sources), rows["source"].eqNullSafe(plan["s"]))
+    out = rows.join(maybe_broadcast(plan), rows["source"].eqNullSafe(plan["s"]))
     here = F.struct(F.col("h"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("size"))
     at_end = (here == F.col("end")) & (F.col("last_uid").isNull() | (F.col("uid") <= F.col("last_uid")))
     more = (F.substring("h", 1, 2 * CELL_HEX) < F.col("cells")) | (F.col("end").isNotNull() & ((here < F.col("end")) | at_end))
     return out.withColumn("times", F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).select(*rows.columns, "source_size", "target", "times")
 
 
-def _kth(rows: DataFrame, ends: DataFrame, n_sources: int) -> DataFrame:
+def _kth(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """s, last_uid: the place of the k-th of the n rows that are equal at a source's end, where k < n.
 
     Counts by the partition in which rows were written come first, so that only one such partition's rows are numbered.
     """
     some = ends.where("k < n")
     key = F.struct(rows["h"], rows["doc_id"].isNull().alias("no_id"), rows["doc_id"], rows["size"])
-    equal = rows.join(maybe_broadcast(some, n_sources), rows["source"].eqNullSafe(some["s"]) & (key == some["end"])).select("s", "uid", "k", F.shiftright("uid", 33).alias("part"))
+    equal = rows.join(maybe_broadcast(some), rows["source"].eqNullSafe(some["s"]) & (key == some["end"])).select("s", "uid", "k", F.shiftright("uid", 33).alias("part"))
     parts = equal.groupBy("s", "k", "part").agg(F.count(F.lit(1)).alias("n"))
     run = F.sum("n").over(Window.partitionBy("s").orderBy("part"))
     parts = parts.withColumn("before", run - F.col("n")).where("before < k and k <= before + n").select(F.col("s").alias("s3"), F.col("part").alias("part3"), (F.col("k") - F.col("before")).alias("j"))
-    found = equal.join(maybe_broadcast(scratch(parts, "mix-parts"), n_sources), F.col("s").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("part3")))
+    found = equal.join(maybe_broadcast(scratch(parts, "mix-parts")), F.col("s").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("part3")))
     numbered = found.withColumn("place", F.row_number().over(Window.partitionBy("s").orderBy("uid")))
     return numbered.where("place = j").select("s", F.col("uid").alias("last_uid"))

@@ -36,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import chunks, maybe_broadcast, scratch, text_or_empty
+from gramloom.llm.common import bounded_batches, chunks, maybe_broadcast, release, scratch, slices, text_or_empty
 from gramloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 46, 7
 #: Characters that are cut into shingles at once (about 60 bytes each).
-CHARS = 1_000_000
+CHARS = 400_000
 #: Texts of a star that go to one task, texts of a unit, and the texts and bytes of a block.
-STAR, UNIT, BLOCK_TEXTS, BLOCK_BYTES = 2000, 20_000, 1024, 4_000_000
+STAR, UNIT, BLOCK_TEXTS, BLOCK_BYTES = 500, 20_000, 1024, 4_000_000
 #: Bits of the map of buckets (4 MB), texts up to which a shingle's pairs are counted, shingles in one product.
 MAP_BITS, FEW, WIDE = 25, 8, 2048
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -318,8 +318,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end in chunks(batch.column("norm").to_pylist(), CHARS, 500):
-                part = batch.slice(at, end - at)
+            for part in slices(batch, "norm", CHARS, 500):
                 text_of, hashes, counts = shingles(part.column("norm").to_pylist())
                 keys = band_keys(prob_minhash(text_of, hashes, weights_of(counts), part.num_rows, bands * rows), bands, rows)
                 some = np.bincount(text_of, minlength=part.num_rows) > 0
@@ -364,12 +363,11 @@ def _star_links(stars: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
         for batch in batches:
-            for a, b in chunks(batch.column("norm").to_pylist(), CHARS):
-                part = batch.slice(a, b - a)
+            for part in slices(batch, "norm", CHARS):
                 leads, salts, members, nodes = (part.column(c).to_numpy() for c in ("lead", "salt", "member", "node"))
                 texts = Texts.of(part.column("norm").to_pylist())
                 cuts = np.flatnonzero((np.diff(leads) != 0) | (np.diff(salts) != 0)) + 1
-                for x, y in zip([0, *cuts], [*cuts, b - a], strict=True):
+                for x, y in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
                     if members[x] == 0:  # else this goes on with the star of the part before
                         lead = texts.some(x, x + 1)
                         x += 1
@@ -475,6 +473,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 def _classes(
     docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS, star: int = STAR, unit_texts: int = UNIT, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     signed = scratch(signatures(docs, bands, rows), "near-signed")
     # A text's node is a hash of its key; where two keys share one, all but one get another.
     texts = signed.groupBy("key", F.xxhash64("key").alias("node")).agg(F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("rep"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
@@ -499,6 +498,7 @@ def _classes(
     stars = pairs.join(maybe_broadcast(parts), "lead").select("lead", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.lit(1).alias("member"), "node")
     stars = stars.unionByName(parts.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("lead").alias("node")))
     links = scratch(_star_links(stars.join(found, "node"), threshold), "near-links")
+    release(buckets, pairs, parts)
     label = components(links)
     # What is left: buckets whose texts aren't all of one class.
     placed = members.join(maybe_broadcast(label), "node", "left").select("bucket", "lead", "node", F.coalesce("label", "node").alias("label"))
@@ -508,6 +508,7 @@ def _classes(
         dealt = _blocks(here, texts.select("node", "size"), unit_texts, block_texts, block_bytes)
         links = scratch(links.unionByName(_block_links(dealt.join(found, "node"), threshold)), "near-links")
         label = components(links)
+    release(members, here, found)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # Only texts that have copies or links need a row here.
     some = texts.join(maybe_broadcast(label), "node", "left").join(maybe_broadcast(ends), "node", "left").where("n > 1 or label is not null")

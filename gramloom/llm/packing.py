@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import scratch, text_or_empty
+from gramloom.llm.common import bounded_batches, scratch, text_or_empty
 from gramloom.llm.tokens import token_ids
 
 SEQUENCE = 2048
@@ -122,6 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE,
                 at += lengths[k]
         yield from pa.Table.from_arrays([*part.columns, pa.array(sequence), pa.array(offset)], schema=_PACKED).to_batches()
 
+    bounded_batches(docs.sparkSession)
     pieces = scratch(piece_rows(docs, tokenizer, end_id, most).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     tasks = max(1, math.ceil(pieces.count() / PIECES_A_TASK))
     return pieces.repartition(tasks, "uid").mapInArrow(fill, PACKED)  # by row: rows that share an id, or have none, are dealt out too

@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import text_or_empty
+from gramloom.llm.common import bounded_batches, slices, text_or_empty
 
+#: Bytes of texts that go through the field together (about 45 for each of them); a longer text goes alone.
+CHARS = 1_500_000
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 TAGS = "OSN"
 _TAG_KIND = {1: "secret", 2: "number"}
@@ -330,12 +332,12 @@ _OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIND
 
 def find(docs: DataFrame, model: tuple[list[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (found by pattern), base_sha256, spans, n_added."""
+    bounded_batches(docs.sparkSession)
     tables, moves = model or default_model()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, "text", CHARS):
                 texts = part.column(1).to_pylist()
                 columns: list[list] = [[] for _ in _OUT]
                 for doc, text, more in zip(part.column(0).to_pylist(), texts, field_spans(texts, tables, moves), strict=True):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import chunks, scratch, text_or_empty
+from gramloom.llm.common import bounded_batches, scratch, slices, text_or_empty
 
 #: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000
@@ -449,8 +449,7 @@ def read(docs: DataFrame, v: Vocabulary) -> DataFrame:
         reader = Reader(v)
         logs = np.log10(v.counts + 0.5)
         for batch in batches:
-            for at, end in chunks(batch.column("text").to_pylist(), CHARS):
-                part = batch.slice(at, end - at)
+            for part in slices(batch, "text", CHARS):
                 symbols, columns, rare_words, rare_counts, rare_ends = [], [[] for _ in range(3)], [], [], [0]
                 for text in part.column("text").to_pylist():
                     s, places, rare = reader.read(text)
@@ -518,6 +517,7 @@ def fit(rows: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 def score(docs: DataFrame, head: int = HEAD, known: int = KNOWN) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     counts = scratch(count_words(docs.select("doc_id", "text").where(~held_out())), "lm-counts")
     v = vocabulary(counts, head, known)
     rows = scratch(read(docs, v), "lm-read")

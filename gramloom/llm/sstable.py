@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import scratch, scratch_path, text_or_empty
+from gramloom.llm.common import bounded_batches, scratch, scratch_path, text_or_empty
 from gramloom.llm.tokens import token_ids
 
 MAGIC = b"SSTIDS01"
@@ -177,7 +177,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         part = TaskContext.get().partitionId()
         name, out, shard = f"{folder}/{part:06d}-{uuid.uuid4().hex}.sst", None, None
         encode = token_ids(tokenizer)
-        width = 2 if encode.merges.n <= 1 << 16 and end_id < 1 << 16 else 4
+        width = 2 if encode.n <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist()), strict=True):
                 if shard is None:
@@ -189,6 +189,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": part, "path": name, "n_docs": len(shard.keys), "n_ids": shard.n_ids}], schema=_MANIFEST)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     shards = max(1, math.ceil(rows.count() / shard_docs))

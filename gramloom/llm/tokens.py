@@ -19,7 +19,7 @@ import numpy as np
 from gramloom.llm.common import chunks
 
 #: Characters of a chunk: more find more pieces that are the same, and take more memory (about 60 bytes each).
-CHUNK_CHARS = 5_000_000
+CHUNK_CHARS = 2_000_000
 #: Bytes of the longest piece that numpy merges; the library's time doesn't grow with the square of a piece.
 LONGEST = 256
 
@@ -143,6 +143,7 @@ class TokenIds:
 
         self.library = Tokenizer.from_file(path)
         self.merges = Merges(path)
+        self.n = 1 + max(self.library.get_vocab(with_added_tokens=True).values())  # ids are below
         self.lower = "Lowercase" in str(self.library.normalizer or "")
         added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(added)

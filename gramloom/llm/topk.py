@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import scratch, scratch_path
+from gramloom.llm.common import bounded_batches, scratch, scratch_path
 
 #: Rows of a block, and queries that are sent to the tasks at once (at most QUERY_BLOCK * components * 8 bytes).
 BLOCK_ROWS, QUERY_BLOCK = 128, 8192
@@ -107,6 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     task_rows: rows whose blocks a task holds at once.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = scratch(vectors, "topk-rows")
     asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("q"))
     blocks = max(1, -(-asked.count() // query_block))
