@@ -1,45 +1,48 @@
 """Quality classifier by co-training: two views of a document teach each other.
 
-One classifier sees what the text holds (kinds of characters, repetition, words), the other what is said about the page
-(source, language, length, lines). Both are logistic regressions fitted to a bounded sample of labelled documents; in each
-round either adds the unlabelled documents that it's surest about, as labels for the other. Their scores are calibrated on
-labelled documents held out of the fit, combined by a third regression there, and applied to every document in one pass.
-
-A document is rejected only below a threshold that all but a small share of the held-out good documents pass, so that
-clean documents stay.
-
-Defined cases: a null text is empty; null language, source or doc_id are values of their own; labels without a quality or
-document are left out, several labels of a document count by their mean; if no label of one class exists, everything is
-kept; rows with equal ids are scored on their own; an empty table gives an empty result; of documents, n_chars isn't read
-(lengths are counted), and further columns are passed on by keep_good() alone.
+One classifier sees what the text holds (kinds of characters, repetition, words), the other only what is said about the page
+(source, language, the length given with it). Both are logistic regressions fitted to a bounded sample of labelled
+documents; in each round either looks through all unlabelled documents for those that it's surest about, and they become
+labels for the other. Their scores are calibrated on labelled documents held out of the fit, combined by a third regression
+there, and applied to every document in one pass.
+
+A document is rejected below the threshold that best parts the held-out labels: the share of bad documents below it, less
+LOSS_WEIGHT times the share of good ones. So a few wrong labels don't move it, and clean documents stay.
+
+Defined cases: a null text is empty; null language, source, length or doc_id are values of their own; labels without a
+quality or document are left out, several labels of a document count by their mean; if no label of one class exists,
+everything is kept; rows with equal ids are scored on their own; an empty table gives an empty result; further columns are
+passed on by keep_good() alone.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import text_or_empty
+from gramloom.llm.common import bounded_batches, maybe_broadcast, release, scratch, slices, text_or_empty
 
-#: Bounds of the sample that is fitted to: labelled documents, and unlabelled ones that the views may label.
-LABELLED, UNLABELLED = 6_000, 6_000
-ROUNDS, A_ROUND = 4, 400
-#: Share of held-out good documents that may fall below the threshold, and the highest threshold.
-LOSS, HIGHEST = 0.001, 0.1
+#: Labelled documents that are fitted to, rounds, and documents that a view labels in a round.
+LABELLED, ROUNDS, A_ROUND = 6_000, 4, 400
+#: What a lost good document weighs against a bad one that is found, each as a share of its class; and the highest threshold.
+LOSS_WEIGHT, HIGHEST = 20.0, 0.5
+#: Bytes of texts whose features are taken at once.
+CHARS = 2_000_000
 
 _SMALL, _BIG, _DIGIT, _SPACE, _LINE, _STOP, _COMMA, _BANG, _BAR, _HASH, _QUOTE, _WIDE, _ELSE = range(13)
 _CLASS = np.full(256, _ELSE, np.uint8)
 for _chars, _kind in (("abcdefghijklmnopqrstuvwxyz", _SMALL), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _BIG), ("0123456789", _DIGIT), (" \t\r\f\v", _SPACE), ("\n", _LINE), (".", _STOP), (",;:", _COMMA), ("!?", _BANG), ("|<>{}[]\\/=_", _BAR), ("#$%&*^~@+", _HASH), ("\"'`()-", _QUOTE)):
     _CLASS[[ord(c) for c in _chars]] = _kind
 _CLASS[128:] = _WIDE
-N_TEXT, BUCKETS = 13 + 9, 64
-N_META = BUCKETS + 16 + 6
+#: Sources and languages go to buckets by hash; lengths to classes by these bounds.
+N_TEXT, SOURCES, LANGS, LENGTHS = 13 + 9, 64, 16, (1, 40, 200, 1000, 5000, 20_000)
+N_META = SOURCES + LANGS + len(LENGTHS) + 2 + 2
 
 
 def text_features(texts: list[str]) -> np.ndarray:
@@ -67,14 +70,19 @@ def text_features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def meta_features(sources: list, langs: list, texts: list[str]) -> np.ndarray:
-    """Of each page: source and language by hash, length and number of lines by size class."""
-    out = np.zeros((len(texts), N_META), np.float32)
-    for k, (source, lang, text) in enumerate(zip(sources, langs, texts, strict=True)):
-        out[k, zlib.crc32(repr(source).encode()) % BUCKETS] = 1
-        out[k, BUCKETS + zlib.crc32(repr(lang).encode()) % 16] = 1
-        size, lines = np.log1p(len(text)), np.log1p(text.count("\n"))
-        out[k, BUCKETS + 16 :] = (size / 10, (size / 10) ** 2, lines / 5, (lines / 5) ** 2, lines / max(1.0, size), len(text) < 40)
+def page_codes(sources: list, langs: list) -> np.ndarray:
+    """Of each page: the buckets of its source and of its language."""
+    return np.array([(zlib.crc32(repr(a).encode()) % SOURCES, zlib.crc32(repr(b).encode()) % LANGS) for a, b in zip(sources, langs, strict=True)], np.int32).reshape(-1, 2)
+
+
+def meta_features(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each page: its source, its language, and its length (not a number: none is given) by class and as such."""
+    out = np.zeros((len(codes), N_META), np.float32)
+    row = np.arange(len(codes))
+    given = np.maximum(np.nan_to_num(lengths), 0)
+    out[row, codes[:, 0]] = out[row, SOURCES + codes[:, 1]] = 1
+    out[row, SOURCES + LANGS + np.where(np.isnan(lengths), len(LENGTHS) + 1, np.searchsorted(LENGTHS, given, "right"))] = 1
+    out[:, -2], out[:, -1] = np.log1p(given) / 10, (np.log1p(given) / 10) ** 2
     return out
 
 
@@ -125,80 +133,164 @@ class Model:
         return _chance(a), _chance(b), _chance(_logit(np.stack([a, b], 1), self.both))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, good: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = ROUNDS, a_round: int = A_ROUND, loss: float = LOSS) -> Model:
-    """good: 0 or 1 of each labelled row; more_*: the views of unlabelled rows. Every fourth labelled row is held out of the rounds."""
-    every = np.concatenate([text, more_text]) if len(text) else np.zeros((1, N_TEXT))
-    centre, spread = every.mean(0), every.std(0) + 1e-3
+#: What a view is sure of: of each row its key, its features in both views, and its label.
+Taught = dict[int, tuple[np.ndarray, np.ndarray, float]]
+#: (weights of the teaching view by name, keys that its pupil has, good rows, bad rows) -> what is taught.
+Teacher = Callable[[str, np.ndarray, "Scale", Taught, int, int], Taught]
+
+
+@dataclasses.dataclass
+class Scale:
+    """Means and spreads of the text features."""
+
+    centre: np.ndarray
+    spread: np.ndarray
+
+    def __call__(self, text: np.ndarray) -> np.ndarray:
+        return (text - self.centre) / self.spread
+
+
+def threshold_of(p: np.ndarray, good: np.ndarray, weight: float = LOSS_WEIGHT, highest: float = HIGHEST) -> float:
+    """The lowest threshold that (nearly) best parts good from bad rows by their chances p."""
+    at = np.unique(np.concatenate([[0.0], p[p < highest], [highest]]))
+    at = np.concatenate([[0.0], (at[1:] + at[:-1]) / 2])  # between two rows
+    below = lambda x: np.searchsorted(np.sort(x), at, "left") / max(1, len(x))
+    gain = below(p[good == 0]) - weight * below(p[good == 1])
+    return float(at[np.flatnonzero(gain >= gain.max() - 1e-3)[0]])
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, good: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = ROUNDS, a_round: int = A_ROUND) -> Model:
+    """As taught_rounds(), with the unlabelled rows' views at hand."""
+
+    def surest(view: str, w: np.ndarray, scale: Scale, known: Taught, n_good: int, n_bad: int) -> Taught:
+        p = _chance(_logit(scale(more_text) if view == "text" else more_meta, w))
+        free = np.array([r for r in range(len(p)) if r not in known], int)
+        by = free[np.argsort(p[free], kind="stable")]
+        rows = [(int(r), 1.0) for r in by[-n_good:] if p[r] > 0.95] + [(int(r), 0.0) for r in by[:n_bad] if p[r] < 0.05]
+        return {r: (more_text[r], more_meta[r], label) for r, label in rows}
+
+    return taught_rounds(text, meta, good, surest, rounds if len(more_text) else 0, a_round)
+
+
+def taught_rounds(text: np.ndarray, meta: np.ndarray, good: np.ndarray, surest: Teacher, rounds: int = ROUNDS, a_round: int = A_ROUND) -> Model:
+    """good: 0 or 1 of each labelled row. Every fourth labelled row is held out of the rounds."""
+    scale = Scale(text.mean(0), text.std(0) + 1e-3) if len(text) else Scale(np.zeros(N_TEXT), np.ones(N_TEXT))
     if len(good) < 8 or good.min() == good.max():
-        return Model(centre, spread, None, None)
-    text, more_text = (text - centre) / spread, (more_text - centre) / spread
+        return Model(scale.centre, scale.spread, None, None)
     held = np.arange(len(good)) % 4 == 3
     if len(set(good[held])) < 2 or len(set(good[~held])) < 2:
         held = np.zeros(len(good), bool)
     base = ~held
-    taught: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # pseudo-labels that a view has been given
-
-    def fitted(own: np.ndarray, more: np.ndarray, given: dict[int, float]) -> np.ndarray:
-        rows = list(given)
-        x = np.concatenate([own[base], more[rows]]) if rows else own[base]
-        y = np.concatenate([good[base], [given[r] for r in rows]])
-        return _fit(x, y, np.concatenate([np.ones(base.sum()), np.full(len(rows), 0.5)]))
-
-    w_text, w_meta = fitted(text, more_text, {}), fitted(meta, more_meta, {})
-    rate = good[base].mean()
-    for _ in range(rounds if len(more_text) else 0):
-        for to, w, more in (("meta", w_text, more_text), ("text", w_meta, more_meta)):
-            p = _chance(_logit(more, w))
-            free = np.array([r for r in range(len(p)) if r not in taught[to]], int)
-            n_good = max(1, round(a_round * rate))
-            by = free[np.argsort(p[free], kind="stable")]
-            # The surest of either class, in the classes' proportion; only where the view is sure at all.
-            taught[to] |= {int(r): 1.0 for r in by[-n_good:] if p[r] > 0.95} | {int(r): 0.0 for r in by[: max(1, a_round - n_good)] if p[r] < 0.05}
-        w_text, w_meta = fitted(text, more_text, taught["text"]), fitted(meta, more_meta, taught["meta"])
+    views = {"text": scale(text), "meta": meta}
+    taught: dict[str, Taught] = {"text": {}, "meta": {}}  # pseudo-labels that a view has been given
+
+    def fitted(view: str) -> np.ndarray:
+        given = [*taught[view].values()]
+        x, y = [views[view][base]], [good[base]]
+        if given:
+            x.append(scale(np.stack([g[0] for g in given])) if view == "text" else np.stack([g[1] for g in given]))
+            y.append(np.array([g[2] for g in given]))
+        return _fit(np.concatenate(x), np.concatenate(y), np.concatenate([np.ones(base.sum()), np.full(len(given), 0.5)]))
+
+    weights = {view: fitted(view) for view in views}
+    n_good = max(1, round(a_round * good[base].mean()))
+    for _ in range(rounds):
+        # The surest of either class, in the classes' proportion; only where the view is sure at all.
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            taught[pupil] |= surest(teacher, weights[teacher], scale, taught[pupil], n_good, max(1, a_round - n_good))
+        weights = {view: fitted(view) for view in views}
     judge = held if held.any() else base
-    a, b = _logit(text[judge], w_text), _logit(meta[judge], w_meta)
+    a, b = (_logit(views[view][judge], weights[view]) for view in ("text", "meta"))
     text_scale, meta_scale = _fit(a[:, None], good[judge], l2=1e-3), _fit(b[:, None], good[judge], l2=1e-3)
     a, b = _logit(a[:, None], text_scale), _logit(b[:, None], meta_scale)
     both = _fit(np.stack([a, b], 1), good[judge], l2=1e-2)
     p = _chance(_logit(np.stack([a, b], 1), both))
-    threshold = float(min(HIGHEST, np.quantile(p[good[judge] == 1], loss)))
-    return Model(centre, spread, w_text, w_meta, text_scale, meta_scale, both, threshold)
+    return Model(scale.centre, scale.spread, weights["text"], weights["meta"], text_scale, meta_scale, both, threshold_of(p, good[judge]))
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text features, page codes and lengths of a batch's rows."""
     texts = [t or "" for t in batch.column("text").to_pylist()]
-    return text_features(texts), meta_features(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts)
+    lengths = batch.column("n_chars").cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return text_features(texts), page_codes(batch.column("source").to_pylist(), batch.column("lang").to_pylist()), lengths
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, **how) -> Model:
-    """Fits to the labelled (and unlabelled) documents whose hashes come first; their features alone come to the driver."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    first = lambda ids, n: ids.orderBy(F.xxhash64("id"), "id").limit(n)
-    some = first(marks, labelled)
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
-    other = first(ids.join(marks.select("id"), "id", "left_anti"), unlabelled).select("id", F.lit(-1).alias("good"))
-    chosen = some.unionByName(other)  # bounded by labelled + unlabelled rows
-    rows = _input(docs)
-    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["id"]).select("doc_id", "text", "source", "lang", "good")
-    schema = pa.schema([("doc_id", pa.int64()), ("good", pa.int32()), ("text", pa.list_(pa.float32())), ("meta", pa.list_(pa.float32()))])
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], schema=schema)
+_FEATURES = "uid long, doc_id long, text array<float>, source int, lang int, length double"
+_FEATURES_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.list_(pa.float32())), ("source", pa.int32()), ("lang", pa.int32()), ("length", pa.float64())])
 
-    got = rows.mapInArrow(features, "doc_id long, good int, text array<float>, meta array<float>")
-    # Rows that share an id could make more rows than ids were chosen.
-    got = got.limit(2 * (labelled + unlabelled)).toArrow().sort_by([("doc_id", "ascending")])
-    text = np.array(got["text"].to_pylist(), np.float32).reshape(-1, N_TEXT)
-    meta = np.array(got["meta"].to_pylist(), np.float32).reshape(-1, N_META)
-    good = np.array(got["good"].to_pylist(), int)
-    known = good >= 0
-    return co_train(text[known], meta[known], good[known], text[~known], meta[~known], **how)
+
+def features(docs: DataFrame) -> DataFrame:
+    """Both views of each row of docs, in little space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", CHARS):
+                text, codes, lengths = _views(part)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, text.size + 1, N_TEXT), pa.int32()), pa.array(text.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), flat, pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(lengths)], schema=_FEATURES_ARROW)
+
+    return _input(docs).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, _FEATURES)
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The matrices of both views of rows of features()."""
+    text = np.array(rows["text"].to_pylist(), np.float32).reshape(-1, N_TEXT)
+    codes = np.stack([rows["source"].to_numpy(), rows["lang"].to_numpy()], 1)
+    return text, meta_features(codes, rows["length"].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows["length"].to_numpy())
+
+
+def surest_of(pool: DataFrame) -> Teacher:
+    """A teacher that looks through all of pool, rows of features(). Each task finds its own surest rows; as many come to the driver as are taught."""
+
+    def surest(view: str, w: np.ndarray, scale: Scale, known: Taught, n_good: int, n_bad: int) -> Taught:
+        sent = pool.sparkSession.sparkContext.broadcast((w, scale, np.array(sorted(known), np.int64)))
+        schema = _FEATURES_ARROW.append(pa.field("p", pa.float64()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, scale, taken = sent.value
+            best: pa.Table | None = None
+            for batch in batches:
+                text, meta = _unpacked(batch)
+                p = _chance(_logit(scale(text) if view == "text" else meta, w))
+                rows = pa.Table.from_arrays([*batch.columns, pa.array(p)], schema=schema)
+                rows = rows.filter(pa.array(((p > 0.95) | (p < 0.05)) & ~np.isin(batch.column("uid").to_numpy(), taken)))
+                rows = (pa.concat_tables([best, rows]) if best is not None else rows).sort_by([("p", "ascending"), ("doc_id", "ascending"), ("uid", "ascending")])
+                p = rows["p"].to_numpy()
+                keep = np.zeros(len(p), bool)
+                keep[:n_bad], keep[max(0, len(p) - n_good) :] = True, True
+                best = rows.filter(pa.array(keep)).combine_chunks()
+            if best is not None:
+                yield from best.to_batches()
+
+        found = scratch(pool.mapInArrow(run, _FEATURES + ", p double"), "quality-surest")
+        out: Taught = {}
+        for label, n, sure, order in ((1.0, n_good, "p > 0.95", F.col("p").desc()), (0.0, n_bad, "p < 0.05", F.col("p").asc())):
+            got = found.where(sure).orderBy(order, "doc_id", "uid").limit(n).toArrow()
+            text, meta = _unpacked(got)
+            out |= {int(u): (text[k], meta[k], label) for k, u in enumerate(got["uid"].to_pylist())}
+        sent.destroy()
+        release(found)
+        return out
+
+    return surest
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **how) -> Model:
+    """Fits to at most `labelled` labelled documents, those whose hashes come first, and to what the views teach each other of all others."""
+    bounded_batches(docs.sparkSession)
+    rows = scratch(features(docs), "quality-features")
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
+    marks = scratch(marks, "quality-marks")
+    got = rows.join(maybe_broadcast(marks), rows["doc_id"] == marks["id"]).orderBy(F.xxhash64("id"), "id", "uid").limit(labelled).select(*rows.columns, "good").toArrow()
+    pool = scratch(rows.join(maybe_broadcast(marks.select("id")), rows["doc_id"] == marks["id"], "left_anti"), "quality-pool")
+    text, meta = _unpacked(got)
+    out = taught_rounds(text, meta, got["good"].to_numpy().astype(int), surest_of(pool), **how)
+    release(rows, marks, pool)
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,19 +299,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, p = model.score(*_views(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= model.threshold)], schema=schema)
+            for part in slices(batch, "text", CHARS):
+                text, codes, lengths = _views(part)
+                a, b, p = model.score(text, meta_features(codes, lengths))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= model.threshold)], schema=schema)
 
+    bounded_batches(docs.sparkSession)
     return _input(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rejected rows; one pass in which rows pass through whole."""
+    read = ("text", "source", "lang", "n_chars")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in ("text", "source", "lang")], ["text", "source", "lang"])
-            yield batch.filter(pa.array(model.score(*_views(named))[2] >= model.threshold))
+            for part in slices(batch, "text", CHARS):
+                text, codes, lengths = _views(pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in read], list(read)))
+                yield part.filter(pa.array(model.score(text, meta_features(codes, lengths))[2] >= model.threshold))
 
-    names = docs.columns
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
