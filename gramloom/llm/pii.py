@@ -79,9 +79,14 @@ _SMALL, _BIG, _DIGIT, _WIDE, _OPEN, _JOIN, _SIGN, _MARK, _ODD, _BLANK = range(10
 _CLASS = np.full(128, _ODD, np.uint8)
 for _chars, _kind in (("abcdefghijklmnopqrstuvwxyz", _SMALL), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _BIG), ("0123456789", _DIGIT), ("(\"'[{<", _OPEN), ("-_./\\", _JOIN), ("=:+@", _SIGN), (".,;!?)]}>", _MARK), (" \t\n\r\f\v", _BLANK)):
     _CLASS[[ord(c) for c in _chars]] = _kind
-#: Sizes of the feature families of a word: what it holds, first and last kind, length, changes, digits, and all of these together.
-_WHOLE = 4096
-FAMILIES = (1024, 10, 10, 8, 6, 6, _WHOLE)
+#: Sizes of the feature families of a word: what it holds, first and last kind, length, changes, digits, all of these together,
+#: and its outline: the kinds and lengths of its runs, of up to _RUNS runs and up to a length of the kind.
+_WHOLE, _OUTLINE = 4096, 8192
+FAMILIES = (1024, 10, 10, 8, 6, 6, _WHOLE, _OUTLINE)
+_RUNS = 9
+_RUN = np.full(10, 2)
+_RUN[[_SMALL, _BIG, _DIGIT]] = 3, 3, 12
+_POWERS = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64))
 OFFSETS = (-2, -1, 0, 1)
 
 
@@ -116,6 +121,16 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     for k in range(1, 6):
         code = code * 11 + features[k]
     features[6] = (code * 2654435761 >> 7) % _WHOLE
+    change[first] = 1  # from here on: where runs start
+    run = np.flatnonzero(change)
+    runs = kinds[run] * 16 + np.minimum(np.diff(np.append(run, len(kinds))), _RUN[kinds[run]])
+    inner = np.cumsum(change) - 1
+    opens = inner[first]  # each word's first run
+    place = np.arange(len(run)) - np.repeat(opens, np.diff(np.append(opens, len(run))))
+    mixed = (runs.astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(place, len(_POWERS) - 1)]
+    mixed = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), opens)
+    mixed = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(51)).astype(np.int32) % _OUTLINE
+    features[7] = np.where(np.diff(np.append(opens, len(run))) > _RUNS, 0, mixed)  # words of many runs have one outline
     return starts, ends, text_of, features
 
 
@@ -230,7 +245,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 120,
     return [[t.astype(np.float32) for t in families] for families in tables], moves.astype(np.float32)
 
 
-def labelled_table(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(n: int = 2400, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small table of invented sentences, made from a seed: secrets, private numbers, and what only looks like them."""
     r = random.Random(seed)
     syllables = "an the er re on ing st ti ed ou ha es wh nt eau oui ment le ver sch ung ción osa do que".split()

@@ -198,7 +198,7 @@ def test_field_is_right_on_sentences_it_has_not_seen():
             hit = any(x < b and a < y and pii.KINDS[k] == {"S": "secret", "N": "number"}[tag] for x, k, y in found)
             right, missed = right + hit, missed + (not hit)
         wrong += sum(not any(x < b and a < y for _, a, b in spans) for x, _, y in found)
-    assert right / (right + missed) > 0.9 and right / (right + wrong) > 0.9
+    assert right / (right + missed) > 0.95 and wrong / max(1, right) <= 0.05  # 5 false spans for 100 right ones
 
 
 def test_viterbi_is_the_best_path():
