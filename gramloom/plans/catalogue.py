@@ -373,19 +373,19 @@ def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A model with gaps: longer n-grams may be rarer than the shorter ones that stay.
-_GAPPY = "g AS (SELECT n, ngram, c FROM c WHERE n = 1 OR (n = 2 AND c >= 3) OR (n = 3 AND c >= 2))"
+_GAPPY = "g AS MATERIALIZED (SELECT n, ngram, c FROM c WHERE n = 1 OR (n = 2 AND c >= 3) OR (n = 3 AND c >= 2))"
 
 
 def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir, 3).where("n = 1 or (n = 2 and c >= 3) or (n = 3 and c >= 2)").withColumn("line_no", F.lit(0).cast("long"))
 
 
-@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT DISTINCT CAST(2 AS INTEGER) AS n, {S.suffix()} AS ngram FROM g WHERE n = 3 AND {S.suffix()} NOT IN (SELECT ngram FROM g WHERE n = 2)")
+@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT DISTINCT CAST(2 AS INTEGER) AS n, {S.suffix()} AS ngram FROM g WHERE n = 3 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.n = 2 AND h.ngram = {S.suffix('g.ngram')})")
 def blank_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.blank_entries(_gappy(spark, sf_dir)).select("n", "ngram")
 
 
-@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT n, ngram FROM g WHERE n = 3 AND {S.prefix()} NOT IN (SELECT ngram FROM g WHERE n = 2)")
+@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT n, ngram FROM g WHERE n = 3 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.n = 2 AND h.ngram = {S.prefix('g.ngram')})")
 def orphan_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.orphans(_gappy(spark, sf_dir)).select("n", "ngram")
 
@@ -395,12 +395,12 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.derive(rows, 3).rows.where("not is_blank and ngram <> '<unk>'")
 
 
-@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT n, ngram, ngram IN (SELECT {S.prefix()} FROM g WHERE n > 1) AS extends_right FROM g")
+@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT g.n, g.ngram, x.ngram IS NOT NULL AS extends_right FROM g LEFT JOIN (SELECT DISTINCT {S.prefix()} AS ngram FROM g WHERE n > 1) x ON x.ngram = g.ngram")
 def extends_right_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).select("n", "ngram", "extends_right")
 
 
-@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT n, ngram, ngram NOT IN (SELECT {S.suffix()} FROM g WHERE n > 1 UNION ALL SELECT regexp_extract(ngram, '([^ ]+)$', 1) FROM g WHERE n = 3) AS independent_left FROM g")
+@query(S.with_(_DOCS, S.counts(3), _GAPPY) + f"SELECT g.n, g.ngram, x.ngram IS NULL AS independent_left FROM g LEFT JOIN (SELECT {S.suffix()} AS ngram FROM g WHERE n > 1 UNION SELECT regexp_extract(ngram, '([^ ]+)$', 1) FROM g WHERE n = 3) x ON x.ngram = g.ngram")
 def extends_left_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).select("n", "ngram", "independent_left")
 
@@ -442,7 +442,7 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("ngram", hashing.fnv1a(F.col("x.word_id")).alias("fnv"), hashing.chain(F.col("x.word_id")).alias("chained"))
 
 
-@query()
+@query(S.with_(_DOCS, "mw AS (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM s))", S.murmur("word", "mw")) + "SELECT word, h FROM mu")
 def murmur_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _sents(spark, sf_dir).select(F.explode("words").alias("word")).distinct()
     return words.select("word", hashing.vocab_hash("word").alias("h"))

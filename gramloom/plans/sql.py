@@ -19,7 +19,7 @@ def sents(table: str = "documents", by: str = "doc_id", name: str = "s", keep: s
 def counts(order: int, least: int = 1, source: str = "s", name: str = "c") -> str:
     """name(n, ngram, c)."""
     return f"""{name}_m AS (SELECT list_concat(['<s>'], words, ['</s>']) AS m FROM {source}),
-{name} AS (SELECT n, ngram, count(*) AS c FROM (SELECT CAST(k.n AS INTEGER) AS n, array_to_string(m[u.i:u.i + k.n - 1], ' ') AS ngram FROM {name}_m, (SELECT unnest(range({least}, {order + 1})) AS n) k, LATERAL (SELECT unnest(range(1, len(m) - k.n + 2)) AS i) u) GROUP BY n, ngram)"""
+{name} AS MATERIALIZED (SELECT n, ngram, count(*) AS c FROM (SELECT CAST(k.n AS INTEGER) AS n, array_to_string(m[u.i:u.i + k.n - 1], ' ') AS ngram FROM {name}_m, (SELECT unnest(range({least}, {order + 1})) AS n) k, LATERAL (SELECT unnest(range(1, len(m) - k.n + 2)) AS i) u) GROUP BY n, ngram)"""
 
 
 def prefix(x: str = "ngram") -> str:
@@ -33,11 +33,11 @@ def suffix(x: str = "ngram") -> str:
 def effective(order: int, source: str = "c", name: str = "e", raw: str = "") -> str:
     keep = raw or f"c.n = {order} OR c.n = 1"
     return f"""{name}_cc AS (SELECT n - 1 AS n, {suffix()} AS ngram, count(*) AS cc FROM {source} WHERE n > 1 GROUP BY 1, 2),
-{name} AS (SELECT c.n, c.ngram, c.c, CASE WHEN {keep} THEN c.c ELSE coalesce(x.cc, 0) END AS e FROM {source} c LEFT JOIN {name}_cc x ON x.n = c.n AND x.ngram = c.ngram)"""
+{name} AS MATERIALIZED (SELECT c.n, c.ngram, c.c, CASE WHEN {keep} THEN c.c ELSE coalesce(x.cc, 0) END AS e FROM {source} c LEFT JOIN {name}_cc x ON x.n = c.n AND x.ngram = c.ngram)"""
 
 
 def contexts(source: str = "e", name: str = "x") -> str:
-    return f"{name} AS (SELECT n, {prefix()} AS context, CAST(sum(e) AS BIGINT) AS total, count(*) FILTER (e > 0) AS followers FROM {source} WHERE n > 1 GROUP BY 1, 2)"
+    return f"{name} AS MATERIALIZED (SELECT n, {prefix()} AS context, CAST(sum(e) AS BIGINT) AS total, count(*) FILTER (e > 0) AS followers FROM {source} WHERE n > 1 GROUP BY 1, 2)"
 
 
 def unigrams(source: str = "c", name: str = "p1") -> str:
@@ -49,9 +49,9 @@ def model(order: int) -> str:
     """p(n, ngram, prob): the built model, from c(n, ngram, c)."""
     parts = [effective(order), contexts(), unigrams()]
     for n in range(2, order + 1):
-        parts.append(f"""p{n} AS (SELECT e.n, e.ngram, CAST(log10(greatest(CASE WHEN x.total = 0 THEN 1e-300 ELSE greatest(e.e - 0.75e0, 0e0) / x.total + 0.75e0 * x.followers / x.total * pow(10e0, CAST(l.prob AS DOUBLE)) END, 1e-300)) AS FLOAT) AS prob
+        parts.append(f"""p{n} AS MATERIALIZED (SELECT e.n, e.ngram, CAST(log10(greatest(CASE WHEN x.total = 0 THEN 1e-300 ELSE greatest(e.e - 0.75e0, 0e0) / x.total + 0.75e0 * x.followers / x.total * pow(10e0, CAST(l.prob AS DOUBLE)) END, 1e-300)) AS FLOAT) AS prob
 FROM e JOIN x ON x.n = {n} AND x.context = {prefix('e.ngram')} JOIN p{n - 1} l ON l.ngram = {suffix('e.ngram')} WHERE e.n = {n})""")
-    parts.append("p AS (" + " UNION ALL ".join(f"SELECT * FROM p{n}" for n in range(1, order + 1)) + ")")
+    parts.append("p AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM p{n}" for n in range(1, order + 1)) + ")")
     return ",\n".join(parts)
 
 
@@ -92,3 +92,16 @@ def chain(ids: str) -> str:
     """The chained hash of a list of ids of one or more, from 0."""
     step = f"CAST(xor(CAST({mulmod('CAST(h AS UHUGEINT)', '8978948897894561157::UHUGEINT')} AS UBIGINT), CAST({mulmod('(CAST(b AS UHUGEINT) + 1)', '17894857484156487943::UHUGEINT')} AS UBIGINT)) AS UHUGEINT)"
     return f"list_reduce(list_transform({ids}[2:], lambda w: CAST(w AS UHUGEINT)), lambda h, b: {step}, CAST({ids}[1] AS UHUGEINT))"
+
+
+def murmur(word: str, source: str, name: str = "mu") -> str:
+    """name(word, h): MurmurHash64A (seed 0) of the UTF-8 bytes of source's words, as a long."""
+    by_m = lambda x: f"CAST((CAST({x} AS UHUGEINT) * 14313749767032793493::UHUGEINT) % {_M} AS UBIGINT)"
+    folded = lambda x: f"xor({x}, {x} // 140737488355328::UBIGINT)"
+    value = lambda i, n: f"CAST(list_reduce(list_transform(range(0, {n}), lambda j: CAST('0x' || substr(x, 1 + 2 * (8 * ({i}) + j), 2) AS UHUGEINT) * CAST(pow(256, j) AS UHUGEINT)), lambda a, b: a + b, 0::UHUGEINT) AS UBIGINT)"
+    return f"""{name}_b AS (SELECT {word} AS word, hex(encode({word})) AS x, octet_length(encode({word})) AS n FROM {source}),
+{name}_k AS (SELECT word, n, list_transform(range(0, n // 8), lambda i: {value('i', '8')}) AS blocks, CASE WHEN n % 8 > 0 THEN {value('n // 8', 'n % 8')} END AS tail FROM {name}_b),
+{name}_h AS (SELECT word, tail, list_reduce(blocks, lambda h, k: {by_m('xor(h, ' + by_m(folded(by_m('k'))) + ')')}, {by_m('n')}) AS h FROM {name}_k),
+{name}_t AS (SELECT word, CASE WHEN tail IS NOT NULL THEN {by_m('xor(h, tail)')} ELSE h END AS h FROM {name}_h),
+{name}_f AS (SELECT word, {by_m(folded('h'))} AS h FROM {name}_t),
+{name} AS (SELECT word, {SIGNED.format('g')} AS h FROM (SELECT word, {folded('h')} AS g FROM {name}_f))"""
