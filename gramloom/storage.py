@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a narrow table may be broadcast (about 30 MB).
-BROADCAST_ROWS = 1_000_000
+from gramloom.errors import ConfigError
+
+#: Bytes up to which a table may be broadcast: its values, and so many more for each row.
+BROADCAST_BYTES, ROW_BYTES = 32_000_000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one is set only where none is (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one is made only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ConfigError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gramloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,20 +38,30 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if a count shows that it has at most `limit` rows; else the planner shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame) -> DataFrame:
+    """Marks df, of plain columns, for broadcast if its measured bytes are few; else the planner shuffles."""
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
+        return df
+    width = ROW_BYTES + 8 * len(df.columns)
+    most = BROADCAST_BYTES // width
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    rows, letters = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(sum(texts[1:], texts[0])) if texts else F.lit(0)).first()
+    return F.broadcast(df) if rows <= most and rows * width + (letters or 0) <= BROADCAST_BYTES else df
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with each row's place (from 1) in the given order over the whole table.
 
-    Ranges are sorted by all tasks and numbered within; only one count per range is summed up in one place.
+    Ranges are sorted by all tasks and numbered within; only one count per range is summed up in one place. df is stored
+    first, since its ranges are found by a sample.
     """
-    stored = scratch(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    keys = [c.alias(f"__key{k}") for k, c in enumerate(order)]
+    stored = scratch(df.select("*", *keys), "to-rank")
+    names = [f"__key{k}" for k in range(len(order))]
+    placed = scratch(stored.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    stored = stored.withColumn("__part", part)
-    sizes = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = placed.withColumn("__part", part)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("__part", before.alias("__base"))
-    return stored.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + row + 1).drop("__part", "__at", "__base")
+    return placed.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + row + 1).drop("__part", "__at", "__base")  # one row for each range

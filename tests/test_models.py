@@ -374,3 +374,25 @@ def test_empty_corpus(spark):
     assert C.count_ngrams(none, 3).count() == 0 and estimate.estimate(C.count_ngrams(none, 2), BuildConfig(order=2)).count() == 0
     m = estimate.build(none, BuildConfig(order=2))
     assert [(r.prob, r.oov) for r in score.score_tokens(sents(spark, ["a"]), ["id"], m).collect()] == [(0, True), (0, False)]  # the markers are always known
+
+
+@pytest.mark.parametrize("bos", [True, False])
+@pytest.mark.parametrize("detail", [True, False])
+def test_arrays_and_joins_score_alike(spark, gappy, tmp_path, monkeypatch, bos, detail):
+    """Small models as arrays, and the joins that larger ones go through, on models with and without gaps and backoffs."""
+    import dataclasses
+
+    from gramloom.operators import lookup
+
+    r = random.Random(5)
+    built = [estimate.build(sents(spark, C1 + C2), BuildConfig(order=n, semantics=s)) for n, s in ((1, "reference"), (3, "reference"), (2, "corrected"), (4, "corrected"))]
+    lines = [" ".join(r.choice("the cat sat on mat dog a b c d x <unk>".split()) for _ in range(r.randint(0, 9))) for _ in range(60)]
+    text = spark.createDataFrame([(None if i == 3 else i, f"k{i}", x.split() if i != 7 else None) for i, x in enumerate(lines)], "id int, key string, words array<string>")
+    plain = lambda df: sorted((str(x.key), x.pos, *[round(v, 5) if isinstance(v, float) else v for v in x[3:]]) for x in df.collect())
+    for m in (gappy, dataclasses.replace(gappy, complete=False), *built):
+        held = score.score_tokens(text, ["id", "key"], m, bos=bos, detail=detail)
+        with monkeypatch.context() as patch:
+            patch.setattr(lookup, "TEXT_BYTES", -1)
+            joined = score.score_tokens(text, ["id", "key"], dataclasses.replace(m), bos=bos, detail=detail)
+        assert lookup.arrays_of(m) is not None and held.columns == joined.columns and [t for _, t in held.dtypes] == [t for _, t in joined.dtypes]
+        assert plain(held) == plain(joined)
