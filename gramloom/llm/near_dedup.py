@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, chunks, maybe_broadcast, release, scratch, slices, text_or_empty
+from gramloom.llm.common import bounded_batches, chunks, maybe_broadcast, release, released, scratch, slices, text_or_empty
 from gramloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -331,7 +331,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Da
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "key", "size")), lists], schema=schema)
 
     rows_in = _normal(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key", F.octet_length("norm").cast("long").alias("size"), "norm")
-    return rows_in.mapInArrow(sign, "uid long, doc_id long, key binary, size long, bands array<long>")
+    return rows_in.mapInArrow(released(sign), "uid long, doc_id long, key binary, size long, bands array<long>")
 
 
 def _held_buckets(signed: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def _held_buckets(signed: DataFrame, buckets: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(flat[there]), pa.array(node[there])], schema=schema)
 
-    rows = signed.select("node", "bands").mapInArrow(run, "bucket long, node long")
+    rows = signed.select("node", "bands").mapInArrow(released(run), "bucket long, node long")
     return rows.join(maybe_broadcast(buckets), "bucket").select("bucket", "lead", "node").distinct()
 
 
@@ -376,7 +376,7 @@ def _star_links(stars: DataFrame, threshold: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(leads[hits]), pa.array(nodes[hits])], schema=schema)
 
     dealt = stars.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
-    return dealt.select("lead", "salt", "member", "node", "norm").mapInArrow(run, "a long, b long")
+    return dealt.select("lead", "salt", "member", "node", "norm").mapInArrow(released(run), "a long, b long")
 
 
 def _block_links(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -414,7 +414,7 @@ def _block_links(dealt: DataFrame, threshold: float) -> DataFrame:
             yield links(held)
 
     sorted_ = dealt.repartition(*names).sortWithinPartitions(*names)
-    return sorted_.select(*names, "side", "node", "label", "norm").mapInArrow(run, "a long, b long")
+    return sorted_.select(*names, "side", "node", "label", "norm").mapInArrow(released(run), "a long, b long")
 
 
 def _blocks(here: DataFrame, sizes: DataFrame, unit_texts: int, block_texts: int, block_bytes: int) -> DataFrame:

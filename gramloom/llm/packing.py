@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, scratch, text_or_empty
+from gramloom.llm.common import bounded_batches, released, scratch, text_or_empty
 from gramloom.llm.tokens import token_ids
 
 SEQUENCE = 2048
@@ -99,7 +99,7 @@ def piece_rows(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQ
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(released(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, docs_a_sequence: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
@@ -125,4 +125,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE,
     bounded_batches(docs.sparkSession)
     pieces = scratch(piece_rows(docs, tokenizer, end_id, most).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     tasks = max(1, math.ceil(pieces.count() / PIECES_A_TASK))
-    return pieces.repartition(tasks, "uid").mapInArrow(fill, PACKED)  # by row: rows that share an id, or have none, are dealt out too
+    return pieces.repartition(tasks, "uid").mapInArrow(released(fill), PACKED)  # by row: rows that share an id, or have none, are dealt out too

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, slices, text_or_empty
+from gramloom.llm.common import bounded_batches, released, slices, text_or_empty
 
 #: Bytes of texts that go through the field together (about 45 for each of them); a longer text goes alone.
 CHARS = 1_500_000
@@ -365,4 +365,4 @@ def find(docs: DataFrame, model: tuple[list[list[np.ndarray]], np.ndarray] | Non
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
     out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, out)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(released(scan), out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, maybe_broadcast, release, scratch, slices, text_or_empty
+from gramloom.llm.common import bounded_batches, maybe_broadcast, release, released, scratch, slices, text_or_empty
 
 #: Labelled documents that are fitted to, rounds, and documents that a view labels in a round.
 LABELLED, ROUNDS, A_ROUND = 6_000, 4, 400
@@ -233,7 +233,7 @@ def features(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, text.size + 1, N_TEXT), pa.int32()), pa.array(text.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), flat, pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(lengths)], schema=_FEATURES_ARROW)
 
-    return _input(docs).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, _FEATURES)
+    return _input(docs).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(released(run), _FEATURES)
 
 
 def _unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +266,7 @@ def surest_of(pool: DataFrame) -> Teacher:
             if best is not None:
                 yield from best.to_batches()
 
-        found = scratch(pool.mapInArrow(run, _FEATURES + ", p double"), "quality-surest")
+        found = scratch(pool.mapInArrow(released(run), _FEATURES + ", p double"), "quality-surest")
         out: Taught = {}
         for label, n, sure, order in ((1.0, n_good, "p > 0.95", F.col("p").desc()), (0.0, n_bad, "p < 0.05", F.col("p").asc())):
             got = found.where(sure).orderBy(order, "doc_id", "uid").limit(n).toArrow()
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= model.threshold)], schema=schema)
 
     bounded_batches(docs.sparkSession)
-    return _input(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return _input(docs).mapInArrow(released(run), "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -320,4 +320,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 yield part.filter(pa.array(model.score(text, meta_features(codes, lengths))[2] >= model.threshold))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, scratch, slices, text_or_empty
+from gramloom.llm.common import bounded_batches, released, scratch, slices, text_or_empty
 
 #: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000
@@ -92,7 +92,7 @@ def count_words(docs: DataFrame, most: int = 500_000) -> DataFrame:
                     counts = Counter()
         yield from sent(counts)
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "word binary, shape int, c long")
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(released(run), "word binary, shape int, c long")
     return rows.groupBy("word", "shape").agg(F.sum("c").alias("c"))
 
 
@@ -469,7 +469,7 @@ def read(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(sizes, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), lists, flat], schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, _READ)
+    return rows.mapInArrow(released(run), _READ)
 
 
 def _symbols(column: pa.Array) -> list[np.ndarray]:
@@ -505,7 +505,7 @@ def fit(rows: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
             for b, at in enumerate(range(0, len(flat), BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([flat[at : at + BLOCK]], pa.list_(pa.float32()))], schema=schema)
 
-    fitted = scratch(rows.select("symbols").mapInArrow(run, "task int, block int, n long, x array<float>"), "lm-weights")
+    fitted = scratch(rows.select("symbols").mapInArrow(released(run), "task int, block int, n long, x array<float>"), "lm-weights")
     tasks = fitted.agg(F.max("task")).first()[0]
     flat = None if tasks is None else _averaged(fitted, tasks + 1)
     return start.w if flat is None else _unflat(flat, start.w)
@@ -546,7 +546,7 @@ def score(docs: DataFrame, head: int = HEAD, known: int = KNOWN) -> DataFrame:
         if held:
             yield scored(held)
 
-    scored_rows = scratch(rows.select(*plain, "tail", "symbols").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "lm-scored")
+    scored_rows = scratch(rows.select(*plain, "tail", "symbols").mapInArrow(released(run), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "lm-scored")
     # Words outside the known ones: their counts are looked up by a join, once for each text that has them, and summed by text.
     rare = rows.select("uid", F.explode("rare").alias("x")).select("uid", "x.word", "x.k").join(counts.select("word", "c"), "word", "left")
     rare = rare.groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("found"))

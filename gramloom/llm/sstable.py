@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import bounded_batches, scratch, scratch_path, text_or_empty
+from gramloom.llm.common import bounded_batches, released, scratch, scratch_path, text_or_empty
 from gramloom.llm.tokens import token_ids
 
 MAGIC = b"SSTIDS01"
@@ -194,7 +194,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     shards = max(1, math.ceil(rows.count() / shard_docs))
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    return scratch(rows.mapInArrow(write, MANIFEST), "sst-manifest")
+    return scratch(rows.mapInArrow(released(write), MANIFEST), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
@@ -213,7 +213,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     placed = manifest.select("shard", "path", before)
-    return placed.repartition(max(1, min(10_000, manifest.count())), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, min(10_000, manifest.count())), "shard").mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_docs: int = SHARD_DOCS) -> DataFrame:

@@ -23,8 +23,8 @@ CHUNK_CHARS = 2_000_000
 #: Bytes of the longest piece that numpy merges; the library's time doesn't grow with the square of a piece.
 LONGEST = 256
 
-#: Pieces whose ids a worker keeps, about 40 bytes each; beyond that it starts anew.
-KNOWN_PIECES = 1_500_000
+#: Pieces whose ids a worker keeps, about 60 bytes each; beyond that it starts anew.
+KNOWN_PIECES = 600_000
 
 _CONTRACTION = re.compile(r"'(?:[stmdSTMD]|re|ve|ll|[Rr][Ee]|[Vv][Ee]|[Ll][Ll])")
 _LETTER, _DIGIT, _OTHER, _WHITE, _BAD = range(5)
