@@ -224,17 +224,22 @@ def _class_of(v: Vocabulary, targets: np.ndarray) -> np.ndarray:
     return np.where(targets < v.head, v.bin_of[np.minimum(targets, v.head - 1)], v.n_bins + targets - v.head)
 
 
-def _raised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row of x, in place of x, and the rows' sums. Rows are shifted only where a value could overflow or all could vanish."""
-    if x.size and (x.max() > 60 or x.min() < -60):
+def _narrow(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exp of no logit of a state, whose values lie within -1 and 1, can overflow or vanish."""
+    return float(np.abs(weights).sum(0).max() + np.abs(bias).max()) < 60
+
+
+def _raised(x: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row of x, in place of x, and the rows' sums. Rows are shifted unless their values are known to be small."""
+    if not narrow and x.size:
         x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _chance_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _chance_of(x: np.ndarray, at: np.ndarray, narrow: bool) -> np.ndarray:
     """Natural log of the softmax of each row of x (which is overwritten) at one place."""
-    if x.size and (x.max() > 60 or x.min() < -60):
+    if not narrow and x.size:
         x -= x.max(1, keepdims=True)
     picked = x[np.arange(len(x)), at]
     return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
@@ -244,10 +249,11 @@ def log_chances(v: Vocabulary, w: dict[str, np.ndarray], h: np.ndarray, targets:
     """Natural log of the chance of each target symbol: its class's, and for a head word its own within its bin."""
     kind = _class_of(v, targets)
     out = np.empty(len(h))
+    narrow = _narrow(w["class"], w["class_bias"]) and _narrow(w["word"].T, w["word_bias"]) and bool(len(h)) and float(np.abs(h).max()) <= 1
     for at in range(0, len(h), ROWS):  # a slice's logits stay in the processor's cache
         x = h[at : at + ROWS] @ w["class"]
         x += w["class_bias"]
-        out[at : at + ROWS] = _chance_of(x, kind[at : at + ROWS])
+        out[at : at + ROWS] = _chance_of(x, kind[at : at + ROWS], narrow)
     by = np.argsort(kind.astype(np.int16), kind="stable")
     cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
     for b in range(v.n_bins):
@@ -255,7 +261,7 @@ def log_chances(v: Vocabulary, w: dict[str, np.ndarray], h: np.ndarray, targets:
         if len(rows) and z - a > 1:
             x = h[rows] @ w["word"][a:z].T
             x += w["word_bias"][a:z]
-            out[rows] += _chance_of(x, targets[rows] - a)
+            out[rows] += _chance_of(x, targets[rows] - a, narrow)
     return out
 
 
@@ -333,14 +339,24 @@ class Trainer:
         if there is not None:
             states, goal = states[there], goal[there]
         kind = _class_of(v, goal).astype(np.int16)
-        wrong = states @ w["class"]
-        wrong += w["class_bias"]
-        wrong, total = _raised(wrong)
-        wrong /= total[:, None]
-        wrong[np.arange(len(goal)), kind] -= 1
-        slope = wrong @ w["class"].T
-        found = [("class", states.T @ wrong, slice(None)), ("class_bias", np.ones(len(wrong), wrong.dtype) @ wrong, slice(None))]
+        narrow = _narrow(w["class"], w["class_bias"]) and _narrow(w["word"].T, w["word_bias"])
+        # Classes: of e, exp of the logits, a row's share is e over its sum, less one at its own class.
+        slope, to_class, to_bias = np.empty_like(states), np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
+        for at in range(0, len(states), ROWS):  # a slice's logits stay in the processor's cache
+            some = slice(at, at + ROWS)
+            e = states[some] @ w["class"]
+            e += w["class_bias"]
+            e, total = _raised(e, narrow)
+            share = (1 / total)[:, None]
+            np.multiply(e @ w["class"].T, share, out=slope[some])
+            to_class += (states[some] * share).T @ e
+            to_bias += share[:, 0] @ e
+        slope -= w["class"].T[kind]
         by = np.argsort(kind, kind="stable")
+        present, first = np.unique(kind[by], return_index=True)
+        to_class[:, present] -= np.add.reduceat(states[by], first).T
+        to_bias[present] -= np.diff(np.append(first, len(kind)))
+        found = [("class", to_class, slice(None)), ("class_bias", to_bias, slice(None))]
         cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
         for b in range(v.n_bins):
             rows, (a, z) = by[cuts[b] : cuts[b + 1]], v.bin_start[b : b + 2]
@@ -348,7 +364,7 @@ class Trainer:
                 own = states[rows]
                 p = own @ w["word"][a:z].T
                 p += w["word_bias"][a:z]
-                p, total = _raised(p)
+                p, total = _raised(p, narrow)
                 p /= total[:, None]
                 p[np.arange(len(rows)), goal[rows] - a] -= 1
                 slope[rows] += p @ w["word"][a:z]
