@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.config import BOS, EOS
@@ -45,6 +45,24 @@ def ngrams(tokens: Column | str, order: int, least: int = 1) -> Column:
     return F.concat(*map(runs, range(least, order + 1)))
 
 
+def exploded_ngrams(rows: DataFrame, tokens: str, order: int, least: int = 1) -> DataFrame:
+    """The other columns of rows, n, ngram: a row for each run of `least` to `order` of a list's tokens.
+
+    A row holds a number that tells its n-gram, which is put together afterwards, so that all of it is compiled code.
+    """
+    kinds = order - least + 1
+    others = [F.col(f"`{c}`") for c in rows.columns if c != tokens]
+    found = rows.where(F.size(tokens) > 0).select(*others, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) * kinds - 1)).alias("__x"))
+    found = found.select(*others, tokens, F.expr(f"CAST(__x DIV {kinds} AS INT)").alias("__i"), F.expr(f"CAST(__x % {kinds} + {least} AS INT)").alias("n")).where(F.col("__i") + F.col("n") <= F.size(tokens))
+    return found.select(*others, "n", F.array_join(F.slice(tokens, F.col("__i") + 1, F.col("n")), " ").alias("ngram"))
+
+
+def sort_text(ngram: Column | str) -> Column:
+    """A space-joined n-gram as a text that sorts by code points as its list of words does: words end with \\x00, and \\x00 and \\x01 in them are spelt out."""
+    g = F.replace(F.replace(_col(ngram), F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.replace(g, F.lit(" "), F.lit("\x00"))
+
+
 def prefix(ngram: Column | str) -> Column:
     """A space-joined n-gram without its last word; "" for one word."""
     g = _col(ngram)

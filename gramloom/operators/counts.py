@@ -19,9 +19,7 @@ def marked(words: Column | str = "words", bos: bool = True, eos: bool = True) ->
 def count_ngrams(sents: DataFrame, order: int, least: int = 1) -> DataFrame:
     """n, ngram, c over all sentences(words), each between its markers, for n of `least` to `order`."""
     check_order(order)
-    # As a column of its own the list isn't built anew for each of its n-grams.
-    found = sents.select(marked().alias("t")).select(F.explode(T.ngrams("t", order, least)).alias("g")).select("g.n", "g.ngram")
-    return found.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
+    return T.exploded_ngrams(sents.select(marked().alias("t")), "t", order, least).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
 
 
 def corpus_size(sents: DataFrame) -> DataFrame:
@@ -53,10 +51,13 @@ def effective_counts(counts: DataFrame, order: int, marked_raw: bool = False, un
     """
     raw = F.col("n") == order
     raw = raw | (F.col("n") == 1) if unigrams_raw else raw
-    if marked_raw:
-        raw = raw | (T.first_word("ngram") == BOS)
-    joined = counts.join(continuation_counts(counts), ["n", "ngram"], "left")
-    return joined.select("n", "ngram", "c", F.when(raw, F.col("c")).otherwise(F.coalesce("cc", F.lit(0))).alias("e"))
+    plain = counts.where(raw).select("n", "ngram", "c", F.col("c").alias("e"))
+    none = F.lit(0).cast("long")
+    # A count and the longer n-grams that continue it meet in one aggregate, combined before its shuffle.
+    longer = counts.where(F.col("n") > (2 if unigrams_raw else 1)).select((F.col("n") - 1).alias("n"), T.suffix("ngram").alias("ngram"), none.alias("c"), F.lit(1).cast("long").alias("cc"))
+    met = counts.where(~raw).select("n", "ngram", "c", none.alias("cc")).unionByName(longer).groupBy("n", "ngram").agg(F.sum("c").alias("c"), F.sum("cc").alias("cc")).where("c > 0")
+    e = F.when(T.first_word("ngram") == BOS, F.col("c")).otherwise(F.col("cc")) if marked_raw else F.col("cc")
+    return plain.unionByName(met.select("n", "ngram", "c", e.alias("e")))
 
 
 def context_stats(effective: DataFrame) -> DataFrame:

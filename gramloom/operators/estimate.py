@@ -9,7 +9,7 @@ from gramloom.config import BOS, UNK, BuildConfig
 from gramloom.functions import text as T
 from gramloom.operators import counts as C
 from gramloom.operators.model import Model
-from gramloom.storage import scratch
+from gramloom.storage import scratch, small
 
 LEAST = 1e-300
 ROWS = ("n", "ngram", "prob", "backoff", "has_backoff")
@@ -30,12 +30,17 @@ def unigram_probs(counts: DataFrame, discount: float = 0.75) -> DataFrame:
 
 def _reference(counts: DataFrame, config: BuildConfig) -> DataFrame:
     d, order = config.discount, config.order
-    effective = scratch(C.effective_counts(counts, order), "effective") if order > 1 else None
-    stats = scratch(C.context_stats(effective), "contexts") if order > 1 else None
+    # With two orders all counts are raw ones; else they're read several times.
+    effective = C.effective_counts(counts, order)
+    effective = scratch(effective, "effective") if order > 2 else effective
+    stats = C.context_stats(effective)
     lower = unigram_probs(counts, d).select("n", "ngram", "prob")
     made = [lower]
     for n in range(2, order + 1):
-        below = scratch(lower, "lower").select(F.col("ngram").alias("suffix"), F.col("prob").alias("below"))
+        # Each order is read by the next one and by the result.
+        lower = lower if n == 2 else scratch(lower, "lower")
+        made[-1] = lower
+        below = small(lower.select(F.col("ngram").alias("suffix"), F.col("prob").alias("below")))
         rows = effective.where(F.col("n") == n).select("n", "ngram", "e", T.prefix("ngram").alias("context"), T.suffix("ngram").alias("suffix"))
         rows = rows.join(stats.where(F.col("n") == n).drop("n"), "context").join(below, "suffix")
         total = F.col("total").cast("double")

@@ -6,17 +6,20 @@ boolean one; vocabularies of any size go through an anti-join on the words inste
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom.functions import text as T
-from gramloom.storage import small
+from gramloom.storage import is_small, scratch
 
 MODES = ("copy", "unset", "single", "multiple", "union")
 #: Lines of one range within which order is kept by a window.
-RANGE_LINES = 1_000_000
+RANGE_LINES = 500_000
 
 
 def line_words(line: Column | str = "line") -> Column:
@@ -52,12 +55,34 @@ def passing(lines: DataFrame, vocab: DataFrame | Callable[[Column], Column], con
     lines = lines.where(F.col("line") != "")
     if callable(vocab):
         return lines.where(vocab(F.col("line")))
-    known = small(vocab.select("word").distinct())
+    words = vocab.select("word").distinct()
+    if is_small(words):
+        return _passing_small(lines, words.toArrow()["word"].combine_chunks(), context_only)
+    known = words
     judged = lines.select("line_no", F.explode(judged_words("line", context_only)).alias("word"))
     bad = judged.join(known, "word", "left_anti").select("line_no").distinct()
     return lines.where(F.size(line_words("line")) > 0).join(bad, "line_no", "left_anti")
 
 
+def _passing_small(lines: DataFrame, known: pa.Array, context_only: bool) -> DataFrame:
+    """As passing(), where the vocabulary has been measured as small and goes to all tasks: one narrow pass."""
+    sent = lines.sparkSession.sparkContext.broadcast(known.cast(pa.string()))
+    rows = lines.select("line_no", "line", judged_words("line", context_only).alias("words"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("words").dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            good = pc.is_in(pc.cast(lists.flatten(), pa.string()), value_set=sent.value).to_numpy(zero_copy_only=False)
+            bad = np.concatenate([[0], np.cumsum(~good)])
+            ends = np.cumsum(sizes)
+            passed = (sizes > 0) & (bad[ends] == bad[ends - sizes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["line_no", "line"]).filter(pa.array(passed))
+
+    return rows.mapInArrow(run, schema)
+
+
 def union(lines: DataFrame) -> DataFrame:
     """The first of equal lines; pre-aggregated, so that a line with a third of all rows meets no single task."""
     return lines.groupBy("line").agg(F.min("line_no").alias("line_no")).select("line_no", "line")
@@ -66,13 +91,16 @@ def union(lines: DataFrame) -> DataFrame:
 def blocks(lines: DataFrame, passed: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """The passing lines, and each blank line that follows a block of which something passed.
 
-    line_no is a long. Windows see one range of lines each; what lies before a range is known from one row per range.
+    Ranges of about range_lines of these lines, however their numbers lie, are sorted by all tasks; what lies before a range
+    is known from one row for each range.
     """
     marks = passed.select("line_no", "line", F.lit(True).alias("passed")).unionByName(lines.where(F.col("line") == "").select("line_no", "line", F.lit(False).alias("passed")))
-    marks = marks.withColumn("part", F.floor(F.col("line_no") / range_lines))
+    marks = scratch(marks, "marks")
+    ranges = max(1, -(-marks.count() // range_lines))
+    placed = scratch(marks.repartitionByRange(ranges, "line_no").sortWithinPartitions("line_no").withColumn("part", F.spark_partition_id()), "placed")
     w = Window.partitionBy("part").orderBy("line_no")
-    last = marks.groupBy("part").agg(F.max_by("passed", "line_no").alias("last")).withColumn("before_part", F.lag("last").over(Window.orderBy("part")))
-    found = marks.withColumn("before", F.lag("passed").over(w)).join(F.broadcast(last.select("part", "before_part")), "part")
+    last = placed.groupBy("part").agg(F.max_by("passed", "line_no").alias("last")).withColumn("before_part", F.lag("last").over(Window.orderBy("part")))
+    found = placed.withColumn("before", F.lag("passed").over(w)).join(F.broadcast(last.select("part", "before_part")), "part")
     return found.where(F.col("passed") | F.coalesce("before", "before_part", F.lit(False))).select("line_no", "line")
 
 

@@ -1,32 +1,35 @@
-"""Orders of n-grams as sort keys, sorted and distinct runs, and the walk over all orders in one."""
+"""Orders of n-grams as sort keys (texts that sort as lists of words do), sorted and distinct runs, and the walk over all orders in one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.functions import text as T
 from gramloom.operators.model import orphans
 from gramloom.storage import ranked
 
 
-def _words(ngram: Column | str) -> Column:
-    return F.split(F.col(ngram) if isinstance(ngram, str) else ngram, " ")
+def _backwards(key: Column) -> Column:
+    return F.array_join(F.reverse(F.split(key, "\x00")), "\x00")
 
 
 def suffix_order(ngram: Column | str = "ngram") -> list[Column]:
     """By the words from the last to the first. Of n-grams of several lengths a shorter one comes before those it ends."""
-    return [F.reverse(_words(ngram))]
+    return [_backwards(T.sort_text(ngram))]
 
 
 def context_order(ngram: Column | str = "ngram") -> list[Column]:
     """By the context's words from its last to its first, then by the last word."""
-    w = _words(ngram)
-    return [F.reverse(F.slice(w, 1, F.size(w) - 1)), F.element_at(w, -1)]
+    key = T.sort_text(ngram)
+    last = F.substring_index(key, "\x00", -1)
+    context = F.substring(key, F.lit(1), F.greatest(F.length(key) - F.length(last) - 1, F.lit(0)))
+    return [_backwards(context), last]
 
 
 def prefix_order(ngram: Column | str = "ngram") -> list[Column]:
     """By the words from the first on, by code points; also the order of model text."""
-    return [_words(ngram)]
+    return [T.sort_text(ngram)]
 
 
 ORDERS = {"suffix": suffix_order, "context": context_order, "prefix": prefix_order}
@@ -35,7 +38,7 @@ ORDERS = {"suffix": suffix_order, "context": context_order, "prefix": prefix_ord
 def ranked_by(rows: DataFrame, order: str, name: str = "rank") -> DataFrame:
     """rows(n, ngram, ...) with their place (from 1) within their n, in an order of ORDERS; no task sees all of an order."""
     placed = ranked(rows, [F.col("n"), *ORDERS[order]("ngram")], "__place")
-    first = placed.groupBy("n").agg(F.min("__place").alias("__first"))
+    first = placed.groupBy("n").agg(F.min("__place").alias("__first"))  # a row for each order
     return placed.join(F.broadcast(first), "n").withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom.errors import ConfigError
-from gramloom.storage import ranked
+from gramloom.storage import ranked, small
 
 #: Bits up to which the tables of all orders are sent to all tasks (4 bytes a centre).
 TABLE_BITS = 16
@@ -30,7 +30,7 @@ def bins(values: DataFrame, n_bins: int, value: str = "value") -> DataFrame:
     """n, bin, centre of values(n, value); only bins that hold a value are listed."""
     placed = ranked(values.where(F.col(value).isNotNull()).select("n", F.col(value).alias("v")), [F.col("n"), F.col("v")], "__place")
     spans = placed.groupBy("n").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    found = placed.join(F.broadcast(spans), "n")
+    found = placed.join(F.broadcast(spans), "n")  # a row for each order
     row = F.col("__place") - F.col("__first")
     at = F.floor(((row + 1) * n_bins + F.col("__n") - 1) / F.col("__n")) - 1
     return found.groupBy("n", at.cast("int").alias("bin")).agg(F.avg(F.col("v").cast("double")).cast("float").alias("centre"))
@@ -100,7 +100,7 @@ def encode(rows: DataFrame, tables: DataFrame, prob_bits: int = 8, backoff_bits:
 def decode(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """rows whose prob and backoff are their codes' centres; single words stay as they are."""
     side = lambda kind: tables.where(F.col("kind") == kind).select("n", F.col("code").alias(f"{kind}_code"), F.col("centre").alias(f"__{kind}"))
-    found = rows.join(F.broadcast(side("prob")), ["n", "prob_code"], "left").join(F.broadcast(side("backoff")), ["n", "backoff_code"], "left")
+    found = rows.join(small(side("prob")), ["n", "prob_code"], "left").join(small(side("backoff")), ["n", "backoff_code"], "left")
     found = found.withColumn("prob", F.coalesce("__prob", "prob")).withColumn("backoff", F.coalesce("__backoff", "backoff"))
     return found.select(*rows.columns)
 

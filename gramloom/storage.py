@@ -38,15 +38,20 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks df, of plain columns, for broadcast if its measured bytes are few; else the planner shuffles."""
+def is_small(df: DataFrame) -> bool:
+    """Whether a table of plain columns has few bytes, as measured."""
     if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
-        return df
+        return False
     width = ROW_BYTES + 8 * len(df.columns)
     most = BROADCAST_BYTES // width
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     rows, letters = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(sum(texts[1:], texts[0])) if texts else F.lit(0)).first()
-    return F.broadcast(df) if rows <= most and rows * width + (letters or 0) <= BROADCAST_BYTES else df
+    return rows <= most and rows * width + (letters or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks df for broadcast if it has been measured as small; else the planner shuffles."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

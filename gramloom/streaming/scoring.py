@@ -17,9 +17,9 @@ from gramloom.operators.score import score_tokens, sentence_scores
 def windowed_counts(stream: DataFrame, order: int, window: str = "10 minutes", slide: str | None = None, late: str = "10 minutes", ts: str = "ts", text: str = "text") -> DataFrame:
     """start, n, ngram, c of a stream(ts, text), one sentence per row; rows later than `late` are dropped with their windows' state."""
     rows = stream.withWatermark(ts, late).select(ts, T.words(text).alias("words")).where(F.size("words") > 0).select(ts, marked().alias("t"))
-    found = rows.select(ts, F.explode(T.ngrams("t", order)).alias("g"))
+    found = T.exploded_ngrams(rows, "t", order)
     when = F.window(ts, window, slide) if slide else F.window(ts, window)
-    counted = found.groupBy(when.alias("w"), F.col("g.n").alias("n"), F.col("g.ngram").alias("ngram")).agg(F.count(F.lit(1)).alias("c"))
+    counted = found.groupBy(when.alias("w"), "n", "ngram").agg(F.count(F.lit(1)).alias("c"))
     return counted.select(F.col("w.start").alias("start"), "n", "ngram", "c")
 
 

@@ -124,3 +124,22 @@ def test_settings():
     for bad in (lambda: check_order(7), lambda: BuildConfig(order=0), lambda: ModelConfig(semantics="odd"), lambda: ModelConfig(prob_bits=26), lambda: BuildConfig(prune_thresholds=(2, 1))):
         with pytest.raises(ConfigError):
             bad()
+
+
+def test_sort_text_orders_as_lists_of_words(spark):
+    import random
+
+    r = random.Random(2)
+    words = ["a", "aa", "b", "\x00", "\x01", "\x01\x00", "a\x00", "a\x01", "\x02", "é", "\x00a"]
+    grams = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(300)})
+    rows = spark.createDataFrame([(g,) for g in grams], "g string")
+    got = [x.g for x in rows.orderBy(T.sort_text("g")).collect()]
+    assert got == sorted(grams, key=lambda g: [w.encode() for w in g.split(" ")])
+
+
+def test_exploded_ngrams_are_the_lists_ones(spark):
+    rows = spark.createDataFrame([(1, list("abcde")), (2, ["x"]), (3, []), (4, None)], "k int, t array<string>")
+    for order, least in ((3, 1), (2, 2), (1, 1), (4, 2)):
+        got = sorted((x.k, x.n, x.ngram) for x in T.exploded_ngrams(rows, "t", order, least).collect())
+        want = sorted((k, n, " ".join(t[i : i + n])) for k, t in ((1, list("abcde")), (2, ["x"])) for n in range(least, order + 1) for i in range(len(t) - n + 1))
+        assert got == want
