@@ -111,6 +111,17 @@ def state_hash(pointers: Column, full: Column) -> Column:
     return run(F.coalesce(F.try_element_at(pointers, F.lit(-1)), F.lit(0)).cast("long"), F.size(pointers), full)
 
 
+def chart_hash(pointers: Column, full: Column, right: Column) -> Column:
+    """The hash of a chart state: its right state's word ids, 4 little-endian bytes each, seeded by the hash of its left state."""
+
+    @F.pandas_udf("long")
+    def run(seeds: pd.Series, words: pd.Series) -> pd.Series:
+        data = [np.asarray(w, "<u4").tobytes() for w in words]
+        return pd.Series(murmur64_many(data, seeds.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return run(state_hash(pointers, full), right)
+
+
 def unsigned(h: Column | str) -> Column:
     """A long's bits as a whole number from 0, for output and for ordering."""
     c = (F.col(h) if isinstance(h, str) else h).cast("decimal(20,0)")

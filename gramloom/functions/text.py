@@ -158,6 +158,17 @@ def joined_by_nul(strings: Column | str) -> Column:
     return F.concat(F.array_join(_col(strings), "\x00"), F.lit("\x00"))
 
 
+def char_at(text: Column | str, offset: Column | int) -> Column:
+    """The character at a place from 0; null at the end and beyond."""
+    at = offset if isinstance(offset, Column) else F.lit(offset)
+    return F.nullif(F.substring(_col(text), at + 1, F.lit(1)), F.lit(""))
+
+
+def at_end(text: Column | str, offset: Column | int) -> Column:
+    """Whether no character stands at a place from 0."""
+    return F.length(_col(text)) <= (offset if isinstance(offset, Column) else F.lit(offset))
+
+
 # --- searching: places count from 0, null where there's none ---------------------------------------------------------
 
 

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramloom.config import SPECIALS
 from gramloom.functions import text as T
-from gramloom.storage import ranked
+from gramloom.storage import ranked, scratch, small
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of text files (gz and bz2 are inflated by Spark). line_no rises along each file."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line of a text file or of a folder's: line_no, a long, rises along each file and from file to file by name.
+
+    Files may be read in several splits and in any order; a line's number is its split's place, and its own within it.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     rows = spark.read.text(path)
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return rows.select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), F.regexp_replace("value", "\\r$", "").alias("line"))
+    splits = scratch(rows.select(*at).distinct(), "splits")  # a row for each part of a file that a task reads
+    number = (F.row_number().over(Window.orderBy("file", "start")) - 1).cast("long")
+    splits = splits.select("file", "start", number.alias("split"))
+    found = rows.select(*at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"), F.col("value").alias("line"))
+    return found.join(small(splits), ["file", "start"]).select("file", (F.shiftleft("split", 33) + F.col("row")).alias("line_no"), "line")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line of text files (gz and bz2 are inflated by Spark), a trailing CR cut off."""
+    return numbered_lines(spark, path).withColumn("line", F.regexp_replace("line", "\\r$", ""))
 
 
 def sentences(docs: DataFrame, text: str = "text", by: str = "doc_id", blank: str = "skip") -> DataFrame:

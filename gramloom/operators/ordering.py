@@ -53,9 +53,25 @@ def hash_order(h: Column | str = "h") -> list[Column]:
     return [(F.col(h) if isinstance(h, str) else h).bitwiseXOR(F.lit(-(2**63)))]
 
 
-def joint_walk(rows: DataFrame) -> DataFrame:
-    """n, ngram in the order of a walk that enters each n-gram after its prefix; an n-gram whose prefix is missing is an error."""
+def _whole(rows: DataFrame) -> None:
     lost = orphans(rows).select("ngram").first()
     if lost:
         raise ValueError(f"the prefix of {lost[0]!r} is missing")
+
+
+def joint_walk(rows: DataFrame) -> DataFrame:
+    """n, ngram in the order of a walk that enters each n-gram after its prefix; an n-gram whose prefix is missing is an error."""
+    _whole(rows)
     return rows.orderBy(*prefix_order())
+
+
+def walk_events(rows: DataFrame) -> DataFrame:
+    """n, ngram, event, key in the walk's order: "enter" where it comes to an n-gram, "exit" once all that begin with it are done.
+
+    The end of an n-gram's part of the order is its sort text and \\x01, which lies behind all that continue it.
+    """
+    _whole(rows)
+    key = T.sort_text("ngram")
+    both = [("enter", key), ("exit", F.concat(key, F.lit("\x01")))]
+    events = F.explode(F.array(*[F.struct(F.lit(event).alias("event"), at.alias("key")) for event, at in both]))
+    return rows.select("n", "ngram", events.alias("x")).select("n", "ngram", "x.event", "x.key").orderBy("key")

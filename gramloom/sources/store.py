@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gramloom.config import VARIANTS, ModelConfig
 from gramloom.errors import FormatError, VersionError
 from gramloom.operators import quantize
-from gramloom.operators.model import Model, size_estimate
+from gramloom.operators.model import Model
 from gramloom.sources.arpa import load_arpa
 
 KIND, VERSION = "gramloom-model", 1
@@ -82,8 +82,13 @@ def stored_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header(spark: SparkSession, path: str) -> dict:
-    """What the note says, with a rough size."""
+    """What the note says, with the bytes of the model's files."""
     about = recognise(spark, path)
     if about is None:
         raise FormatError(f"{path} holds no stored model")
-    return about | size_estimate({int(k): c for k, c in about["counts"].items()}, about["variant"])
+    return about | {"bytes": stored_bytes(spark, path)}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

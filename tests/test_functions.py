@@ -143,3 +143,15 @@ def test_exploded_ngrams_are_the_lists_ones(spark):
         got = sorted((x.k, x.n, x.ngram) for x in T.exploded_ngrams(rows, "t", order, least).collect())
         want = sorted((k, n, " ".join(t[i : i + n])) for k, t in ((1, list("abcde")), (2, ["x"])) for n in range(least, order + 1) for i in range(len(t) - n + 1))
         assert got == want
+
+
+def test_characters_by_place(spark):
+    got = spark.createDataFrame([("aé𝄞",), ("",), (None,)], "t string").select(*[T.char_at("t", k) for k in (0, 2, 3)], T.at_end("t", 3), T.at_end("t", F.lit(0))).collect()
+    assert [tuple(r) for r in got] == [("a", "𝄞", None, True, False), (None, None, None, True, True), (None, None, None, None, None)]
+
+
+def test_chart_hash(spark):
+    rows = spark.createDataFrame([([5, 7], True, [1, 2]), ([], False, [])], "p array<long>, full boolean, w array<long>")
+    got = rows.select(hashing.state_hash(F.col("p"), F.col("full")).alias("l"), hashing.chart_hash(F.col("p"), F.col("full"), F.col("w")).alias("c")).collect()
+    for r, w in zip(got, ([1, 2], []), strict=True):
+        assert r.c == int(hashing.murmur64_many([struct.pack(f"<{len(w)}I", *w)], r.l % 2**64).view("int64")[0])

@@ -236,7 +236,7 @@ def test_discounts(spark):
 def test_model_text_round_trip(spark, tmp_path):
     m = estimate.build(sents(spark, C1), BuildConfig(order=3, semantics="corrected"))
     path = f"file://{tmp_path}/m.arpa"
-    arpa.write_arpa(m, path)
+    arpa.write_arpa(m, path, single_file=True)
     text = (tmp_path / "m.arpa").read_text().split("\n")
     assert text[0] == "\\data\\" and text[1] == f"ngram 1={m.counts()[1]}" and text[-2] == "\\end\\"
     ones = [x.split("\t")[1] for x in text[text.index("\\1-grams:") + 1 : text.index("\\2-grams:") - 1]]
@@ -247,8 +247,10 @@ def test_model_text_round_trip(spark, tmp_path):
     # Text can't tell a backoff of 0 that is given from one that isn't; all else comes back.
     assert {k: v[:2] for k, v in rows(back).items()} == {k: v[:2] for k, v in rows(m).items()}
     folder = f"file://{tmp_path}/parts"
-    arpa.write_arpa(m, folder, single_file=False)
-    assert sorted(r[0] for r in spark.read.text(folder).collect()) == sorted(text[:-1])
+    arpa.write_arpa(m, folder)
+    assert [r.line for r in corpus.numbered_lines(spark, folder).orderBy("line_no").collect()] == text[:-1]
+    parts = store.load_model(spark, folder, ModelConfig(semantics="corrected"))
+    assert rows(parts) == rows(back)
 
 
 @pytest.mark.parametrize(
@@ -308,9 +310,54 @@ def test_stored_models(spark, tmp_path, variant):
         store.load_stored(spark, path)
 
 
-def test_size_estimate():
-    assert model.size_estimate({1: 10, 2: 5}, "probing", 2.0) == {"vocabulary": 240, "model": 360, "total": 600, "order_1": 120, "order_2": 60}
-    assert model.size_estimate({1: 10, 2: 5}, "trie")["model"] == 120
+def test_sizes(spark, tmp_path):
+    import dataclasses
+
+    m = estimate.build(sents(spark, C1), BuildConfig(order=3))
+    got = {r.n: (r.entries, r.text_bytes, r.value_bytes) for r in model.sizes(m).collect()}
+    grams = [r.ngram for r in m.rows.collect()]
+    for n, bits in ((1, 67), (2, 67), (3, 35)):
+        own = [g for g in grams if g.count(" ") == n - 1]
+        assert got[n] == (len(own), sum(map(len, own)), math.ceil(len(own) * bits / 8))
+    small = dataclasses.replace(m, config=ModelConfig(variant="quant_trie", prob_bits=4, backoff_bits=6))
+    assert {r.n: r.value_bytes for r in model.sizes(small).collect()}[2] == math.ceil(got[2][0] * 13 / 8)
+    path = f"file://{tmp_path}/m"
+    store.save_model(m, path)
+    assert store.header(spark, path)["bytes"] == sum(f.stat().st_size for f in (tmp_path / "m").rglob("*") if f.is_file() and not f.name.endswith(".crc")) > 0
+
+
+def test_walk_events(spark):
+    grams = ["a", "a a", "a b", "ab", "b", "b a", "b a a"]
+    rows = spark.createDataFrame([(g.count(" ") + 1, g) for g in grams], "n int, ngram string")
+    got = [(r.event, r.ngram) for r in ordering.walk_events(rows).collect()]
+    assert got == [("enter", "a"), ("enter", "a a"), ("exit", "a a"), ("enter", "a b"), ("exit", "a b"), ("exit", "a"), ("enter", "ab"), ("exit", "ab"), ("enter", "b"), ("enter", "b a"), ("enter", "b a a"), ("exit", "b a a"), ("exit", "b a"), ("exit", "b")]
+    with pytest.raises(ValueError, match="missing"):
+        ordering.walk_events(rows.where("ngram <> 'b a'"))
+
+
+def test_state_slots_and_orders(spark):
+    rows = spark.createDataFrame([([5, 7], False, [1, 2]), ([5, 7], True, []), ([9], False, [3]), ([], False, [])], "p array<long>, full boolean, w array<long>")
+    assert [r[0] for r in rows.select(model.padded(F.col("p"), 3)).collect()] == [[5, 7, 0], [5, 7, 0], [9, 0, 0], [0, 0, 0]]
+    p, full, w = F.col("p"), F.col("full"), F.col("w")
+    assert [(r.p, r.full) for r in rows.orderBy(*model.left_state_key(p, full)).collect()] == [([], False), ([9], False), ([5, 7], False), ([5, 7], True)]
+    assert [r.w for r in rows.orderBy(*model.chart_state_key(p, full, w)).collect()] == [[], [3], [1, 2], []]
+
+
+def test_corpus_files(spark, tmp_path):
+    import gzip
+
+    for name, lines in (("b.txt", ["three words here", "", "x\r"]), ("a.txt", ["one", "two"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress(b"packed line\n"))
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(30_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # several splits of a file
+    try:
+        got = corpus.read_corpus(spark, f"file://{tmp_path}").orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.line for r in got] == ["one", "two", "three words here", "", "x", *(f"line {i}" for i in range(30_000)), "packed line"]
+    assert len({r.line_no for r in got}) == len(got) and {r.file.rsplit("/", 1)[1] for r in got} == {"a.txt", "b.txt", "big.txt", "c.txt.gz"}
 
 
 def test_quantiser(spark):
@@ -339,13 +386,13 @@ def test_filters(spark):
     lines = lambda *x: spark.createDataFrame(list(enumerate(x)), "line_no long, line string")
     words = lambda *x: spark.createDataFrame([(w,) for w in x], "word string")
     kept = lambda df: [r.line for r in df.orderBy("line_no").collect()]
-    some = lines("-0.5\thello world\t-0.1", "-0.5\thello unknown\t-0.1", "", "-1\t\t", "hello", "unknown hello")
-    for vocab in (words("hello", "world"), filters.word_list_filter(["hello", "world"])):
-        assert kept(filters.run_filter(some, vocab)) == ["-0.5\thello world\t-0.1", "hello"]
-    for vocab in (words("hello"), filters.word_list_filter(["hello"], context_only=True)):
-        assert kept(filters.run_filter(some, vocab, "single", context_only=True)) == ["-0.5\thello world\t-0.1", "-0.5\thello unknown\t-0.1", "hello"]
+    some = lines("-1.5\tred fish\t-0.25", "-1.5\tred boat\t-0.25", "", "-1\t\t", "red", "boat red")
+    for vocab in (words("red", "fish"), filters.word_list_filter(["red", "fish"])):
+        assert kept(filters.run_filter(some, vocab)) == ["-1.5\tred fish\t-0.25", "red"]
+    for vocab in (words("red"), filters.word_list_filter(["red"], context_only=True)):
+        assert kept(filters.run_filter(some, vocab, "single", context_only=True)) == ["-1.5\tred fish\t-0.25", "-1.5\tred boat\t-0.25", "red"]
     assert len(kept(filters.run_filter(some, filters.copy_filter, "unset"))) == 5
-    assert kept(filters.run_filter(lines("alpha", "beta", "alpha", "gamma"), filters.copy_filter, "union")) == ["alpha", "beta", "gamma"]
+    assert kept(filters.run_filter(lines("p q", "r", "p q", "s", "r"), filters.copy_filter, "union")) == ["p q", "r", "s"]
     many = ["", "a", "b", "", "", "x", "", "c", "d"]
     for size in (1, 2, 3, 100):
         passed = filters.passing(lines(*many), filters.word_list_filter(list("abcd")))
