@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes up to which a table may be broadcast: its values, and so many more for each row.
-BROADCAST_BYTES, ROW_BYTES = 32_000_000, 32
+BROADCAST_BYTES, ROW_BYTES = 16_000_000, 32
 #: Bytes of the batches that tasks exchange with Python (Spark's own bound is 64 MB, held several times over).
 BATCH_BYTES = 8_000_000
 

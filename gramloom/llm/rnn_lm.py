@@ -22,6 +22,7 @@ empty result; other columns aren't read.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -140,24 +141,19 @@ def vocabulary(counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Vocab
     return Vocabulary(words, c.astype(np.int64), shapes.astype(np.int64), head, int(total), int(types), sums)
 
 
-class _Places(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Reader:
     """Turns texts into the network's symbols: a head word's place, or head + shape."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.places = _Places((w, k) for k, w in enumerate(v.words))
+        self.places = {w: k for k, w in enumerate(v.words)}
         self.symbols = np.where(np.arange(len(v.words)) < v.head, np.arange(len(v.words)), v.head + v.shapes)
         self.end = self.places[END]
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols, places among the known words (-1: rarer), and the rarer words in their order."""
         words = tokens(text)
-        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        places = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
         symbols = self.symbols[places]
         odd = np.flatnonzero(places < 0)
         rare = [words[k] for k in odd]
