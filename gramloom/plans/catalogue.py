@@ -14,7 +14,7 @@ from gramloom.operators import corpus, estimate, filters, model, ordering, quant
 from gramloom.operators import counts as C
 from gramloom.plans import sql as S
 from gramloom.sources import arpa, store
-from gramloom.storage import scratch, shared_dir, table
+from gramloom.storage import ranked, scratch, shared_dir, table
 from gramloom.streaming.scoring import windowed_counts
 
 QUERIES = {}
@@ -265,15 +265,47 @@ def get_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     S.with_(_DOCS, _HELD, S.counts(2), S.model(2), S.scores(2, "item_id", "b"))
-    + """SELECT item_id, line_no, pos AS line_no_out, 'p=' || printf('%.6f', CAST(prob AS DOUBLE)) || ' [' || ngram_length || '] ' || word AS line FROM t"""
+    + """SELECT item_id, line_no, pos AS line_no_out, 'p=' || printf('%.6f', CAST(prob AS DOUBLE)) || ' [' || ngram_length || '] ' || word AS line FROM t
+UNION ALL SELECT item_id, line_no, CAST(count(*) + 1 AS INTEGER), 'Total: ' || printf('%.6f', sum(CAST(prob AS DOUBLE))) || ' OOV: ' || count(*) FILTER (oov) || ' Tokens: ' || count(*) FROM t GROUP BY item_id, line_no"""
 )
 def query_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["item_id", "line_no"]
     tokens = score.score_tokens(_held(spark, sf_dir), by, _model(spark, sf_dir, 2)).withColumnRenamed("line_no", "sentence")
-    lines = score.query_lines(tokens, ["item_id", "sentence"]).where(~F.col("line").startswith("Total:"))
+    lines = score.query_lines(tokens, ["item_id", "sentence"])
     return lines.select("item_id", F.col("sentence").alias("line_no"), F.col("line_no").alias("line_no_out"), "line")
 
 
+_CORRECTED_SCORES = """cm AS (SELECT conv_id, turn, line_no, list_concat(['<s>'], words, ['</s>']) AS m FROM b),
+ct AS (SELECT conv_id, turn, line_no, CAST(i - 1 AS INTEGER) AS pos, m[i] AS word, m[i - 1] AS context FROM cm, LATERAL (SELECT unnest(range(2, len(m) + 1)) AS i) u),
+co AS (SELECT ct.*, x2.prob AS p2, coalesce(x1.prob, u.prob) AS p1, x1.ngram IS NULL OR ct.word = '<unk>' AS oov, k.gamma FROM ct
+  LEFT JOIN r x2 ON x2.n = 2 AND x2.ngram = ct.context || ' ' || ct.word LEFT JOIN r x1 ON x1.n = 1 AND x1.ngram = ct.word LEFT JOIN k ON k.n = 2 AND k.context = ct.context, (SELECT prob FROM r WHERE ngram = '<unk>') u)"""
+
+
+@query(
+    S.with_(_DOCS, _TALK, S.counts(2), S.effective(2, raw="c.n = 2 OR starts_with(c.ngram, '<s>')"), _KN, _CORRECTED_SCORES)
+    + """SELECT conv_id, turn, line_no, pos, word, CASE WHEN p2 IS NULL THEN 1 ELSE 2 END AS ngram_length, oov,
+  round(CASE WHEN p2 IS NOT NULL THEN CAST(CAST(p2 AS FLOAT) AS DOUBLE) ELSE CAST(CAST(p1 AS FLOAT) AS DOUBLE) + CASE WHEN gamma IS NULL THEN 0 ELSE CAST(CAST(log10(greatest(gamma, 1e-300)) AS FLOAT) AS DOUBLE) END END, 3) AS prob FROM co"""
+)
+def token_scores_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a model with true backoffs, also of words that it doesn't know."""
+    by = ["conv_id", "turn", "line_no"]
+    found = score.score_tokens(_talk(spark, sf_dir), by, _model(spark, sf_dir, 2, "corrected"))
+    return found.select(*by, "pos", "word", "ngram_length", "oov", F.round(F.col("prob").cast("double"), 3).alias("prob"))
+
+
+@query()
+def token_scores_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a model whose longer n-grams lack prefixes; tests hold them against the walk from word to word."""
+    rows = _gappy(spark, sf_dir).select("n", "ngram", (-F.log10(F.col("c") + 1.0) / F.col("n")).cast("float").alias("prob"), F.lit(-0.25).cast("float").alias("backoff"), (F.col("n") < 3).alias("has_backoff"), "line_no")
+    return score.score_tokens(_held(spark, sf_dir), ["item_id", "line_no"], model.derive(rows, 3), detail=True)
+
+
+@query(S.with_(_DOCS, S.counts(3), S.model(3), S.scores(3, "doc_id", "s")) + "SELECT doc_id, round(sum(CAST(prob AS DOUBLE)), 3) AS total, count(*) FILTER (oov) AS oov, count(*) AS tokens FROM t GROUP BY doc_id")
+def doc_scores_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = score.score_tokens(_sents(spark, sf_dir), ["doc_id", "line_no"], _model(spark, sf_dir, 3))
+    return score.sentence_scores(tokens, ["doc_id"]).select("doc_id", F.round("total", 3).alias("total"), "oov", "tokens")
+
+
 # --- filters --------------------------------------------------------------------------------------------------------
 
 _FREQUENT = "fv AS (SELECT ngram AS word FROM c WHERE c >= 20 AND ngram NOT IN ('<s>', '</s>'))"
@@ -318,10 +350,12 @@ def filter_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.run_filter(_lines(spark, sf_dir), _frequent(spark, sf_dir), "multiple")
 
 
-@query(S.with_(_DOCS, S.counts(3), "w AS (SELECT ngram AS line, string_split(ngram, ' ') AS w FROM c)") + "SELECT DISTINCT line || ' ||| x' AS line, array_to_string(w[a.i:b.j], ' ') AS ngram FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) a, LATERAL (SELECT unnest(range(a.i, len(w) + 1)) AS j) b")
+@query(S.with_(_HELD) + "SELECT DISTINCT item_id, line_no, array_to_string(words[a.i:z.j], ' ') AS ngram FROM b, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) a, LATERAL (SELECT unnest(range(a.i, len(words) + 1)) AS j) z")
 def phrase_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = C.count_ngrams(_sents(spark, sf_dir), 3).select(F.concat("ngram", F.lit(" ||| x")).alias("line"))
-    return filters.phrase_ngrams(lines.withColumn("line_no", F.col("line"))).select(F.col("line_no").alias("line"), "ngram")
+    """Each line of the benchmark as the source side of a phrase table's line."""
+    held = _held(spark, sf_dir)
+    lines = held.select(F.struct("item_id", "line_no").alias("line_no"), F.concat(F.array_join("words", " "), F.lit(" ||| x y")).alias("line"))
+    return filters.phrase_ngrams(lines).select("line_no.item_id", "line_no.line_no", "ngram")
 
 
 # --- orders, text and derivation ------------------------------------------------------------------------------------
@@ -340,21 +374,41 @@ _add_rank("context", "list_reverse(string_split(ngram, ' ')[1:n - 1]), string_sp
 _add_rank("prefix", "string_split(ngram, ' ')")
 
 
+@query(S.with_(_DOCS, S.counts(2), "ev AS (SELECT n, ngram, 'enter' AS event, string_split(ngram, ' ') AS k FROM c UNION ALL SELECT n, ngram, 'exit', list_append(string_split(ngram, ' '), chr(1114111)) FROM c)") + "SELECT n, ngram, event, row_number() OVER (ORDER BY k) AS rank FROM ev")
+def walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk over all orders at once: where it enters and leaves each n-gram."""
+    return ranked(ordering.walk_events(_counts(spark, sf_dir, 2)), [F.col("key")]).select("n", "ngram", "event", "rank")
+
+
+@query(S.with_(_DOCS) + "SELECT line, count(*) AS c FROM s_l GROUP BY line")
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines written as text files and read back."""
+    path = f"{shared_dir(spark)}/gramloom/corpus-{uuid.uuid4().hex}"
+    _lines(spark, sf_dir).select("line").write.text(path)
+    return corpus.read_corpus(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query(S.with_(_DOCS, S.counts(2), "sz AS (SELECT n, ngram FROM c UNION ALL SELECT 1, '<unk>')") + "SELECT n, count(*) AS entries, CAST(sum(octet_length(encode(ngram))) AS BIGINT) AS text_bytes, CAST(ceil(count(*) * CASE WHEN n = 1 THEN 67 ELSE 35 END / 8) AS BIGINT) AS value_bytes FROM sz GROUP BY n")
+def model_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.sizes(_model(spark, sf_dir, 2))
+
+
 @query(S.with_(_DOCS, S.counts(2)) + "SELECT DISTINCT line FROM s_l WHERE line <> ''")
 def distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.sorted_distinct(_lines(spark, sf_dir).where("line <> ''").select("line"))
 
 
-_HEAD = r"""SELECT 0 AS section, '\data\' AS line UNION ALL SELECT 0, 'ngram ' || n || '=' || count(*) FROM p GROUP BY n UNION ALL SELECT 0, '' UNION ALL SELECT 3, '\end\'
-UNION ALL SELECT u.n, '\' || u.n || '-grams:' FROM (VALUES (1), (2)) u(n) UNION ALL SELECT u.n, '' FROM (VALUES (1), (2)) u(n)
-UNION ALL SELECT n, printf('%.7f', CAST(prob AS DOUBLE)) || chr(9) || replace(ngram, ' ', chr(9)) || CASE WHEN n = 1 THEN chr(9) || '0.0000000' ELSE '' END FROM p"""
+_TEXT = r"""tx AS (SELECT 0 AS section, 0 AS kind, CAST([] AS VARCHAR[]) AS words, '\data\' AS line UNION ALL SELECT 0, n, [], 'ngram ' || n || '=' || count(*) FROM p GROUP BY n UNION ALL SELECT 0, 99, [], '' UNION ALL SELECT 3, 0, [], '\end\'
+UNION ALL SELECT u.n, 0, [], '\' || u.n || '-grams:' FROM (VALUES (1), (2)) u(n) UNION ALL SELECT u.n, 99, [], '' FROM (VALUES (1), (2)) u(n)
+UNION ALL SELECT n, 1, string_split(ngram, ' '), printf('%.7f', CAST(prob AS DOUBLE)) || chr(9) || replace(ngram, ' ', chr(9)) || CASE WHEN n = 1 THEN chr(9) || '0.0000000' ELSE '' END FROM p)"""
 
 
-@query(S.with_(_DOCS, S.counts(2), S.model(2)) + _HEAD)
+@query(S.with_(_DOCS, S.counts(2), S.model(2), _TEXT) + "SELECT section, line, row_number() OVER (ORDER BY section, kind, words) AS rank FROM tx")
 def arpa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text's lines with their places."""
     rows = scratch(estimate.estimate(_counts(spark, sf_dir, 2), BuildConfig(order=2)), "model")
     counts = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    return arpa.arpa_lines(rows, 2, counts).orderBy("section", "kind", "words").select("section", "line")
+    return ranked(arpa.arpa_lines(rows, 2, counts), [F.col("section"), F.col("kind"), F.col("key")]).select("section", "line", "rank")
 
 
 @query(S.with_(_DOCS, S.counts(2), S.model(2)) + "SELECT n, ngram, CAST(printf('%.7f', CAST(prob AS DOUBLE)) AS FLOAT) AS prob FROM p")
