@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +54,43 @@ class BitField:
 
     def read_negative(self, at: int) -> float:
         return struct.unpack("<f", struct.pack("<I", self.read(at, 31) | 1 << 31))[0]
+
+
+class Chopped:
+    """A rising list of whole numbers without their high parts, which are told by where each of them sets in.
+
+    Of a number only low_bits are held, and one place for each high part up to the last; fewest_bits() weighs both.
+    """
+
+    def __init__(self, values: np.ndarray, low_bits: int | None = None):
+        values = np.asarray(values, np.int64)
+        if len(values) and (values[0] < 0 or (np.diff(values) < 0).any()):
+            raise ValueError("the numbers must rise from 0")
+        self.low_bits = self.fewest_bits(values) if low_bits is None else low_bits
+        self.low = values & mask(self.low_bits)
+        highest = int(values[-1]) >> self.low_bits if len(values) else 0
+        self.starts = np.searchsorted(values >> self.low_bits, np.arange(1, highest + 1))
+
+    @staticmethod
+    def fewest_bits(values: np.ndarray) -> int:
+        most = int(values[-1]) if len(values) else 0
+        return min(range(most.bit_length() + 1), key=lambda b: len(values) * b + (most >> b) * 64)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, place: int | np.ndarray) -> np.ndarray:
+        high = np.searchsorted(self.starts, place, "right")
+        return self.low[place] | (high << self.low_bits)
+
+    def find(self, value: int) -> int:
+        """The first place of a number; -1 if it's not there."""
+        high = value >> self.low_bits
+        a = self.starts[high - 1] if 0 < high <= len(self.starts) else 0 if high <= 0 else len(self.low)
+        z = self.starts[high] if 0 <= high < len(self.starts) else len(self.low)
+        at = a + int(np.searchsorted(self.low[a:z], value & mask(self.low_bits)))
+        return at if at < len(self.low) and self[at] == value else -1
+
+    @property
+    def bits(self) -> int:
+        return len(self.low) * self.low_bits + 64 * len(self.starts)

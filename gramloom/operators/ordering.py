@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from gramloom.functions import text as T
@@ -59,6 +61,19 @@ def _whole(rows: DataFrame) -> None:
         raise ValueError(f"the prefix of {lost[0]!r} is missing")
 
 
+class Ngrams:
+    """rows of n-grams one by one, in their order, and how many there are; a partition at a time is on the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.n = rows, rows.count()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[Row]:
+        return self.rows.toLocalIterator()
+
+
 def joint_walk(rows: DataFrame) -> DataFrame:
     """n, ngram in the order of a walk that enters each n-gram after its prefix; an n-gram whose prefix is missing is an error."""
     _whole(rows)

@@ -155,3 +155,22 @@ def test_chart_hash(spark):
     got = rows.select(hashing.state_hash(F.col("p"), F.col("full")).alias("l"), hashing.chart_hash(F.col("p"), F.col("full"), F.col("w")).alias("c")).collect()
     for r, w in zip(got, ([1, 2], []), strict=True):
         assert r.c == int(hashing.murmur64_many([struct.pack(f"<{len(w)}I", *w)], r.l % 2**64).view("int64")[0])
+
+
+def test_chopped_numbers():
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    for n, most in ((0, 1), (1, 1), (50, 10), (400, 100_000), (300, 2**40)):
+        values = sorted(r.randrange(most) for _ in range(n))
+        for low_bits in (None, 0, 3, 7) if most <= 100_000 else (None, 36):
+            c = bits.Chopped(values, low_bits)
+            assert len(c) == n and c[np.arange(n)].tolist() == values
+            assert all(values[c.find(v)] == v and (c.find(v) == 0 or values[c.find(v) - 1] < v) for v in values)
+            assert all(c.find(v) == -1 for v in range(-2, min(most, 300) + 3) if v not in values)
+        if n > 1:
+            assert bits.Chopped(values).bits <= n * values[-1].bit_length()
+    with pytest.raises(ValueError):
+        bits.Chopped([2, 1])

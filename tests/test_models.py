@@ -443,3 +443,14 @@ def test_arrays_and_joins_score_alike(spark, gappy, tmp_path, monkeypatch, bos,
             joined = score.score_tokens(text, ["id", "key"], dataclasses.replace(m), bos=bos, detail=detail)
         assert lookup.arrays_of(m) is not None and held.columns == joined.columns and [t for _, t in held.dtypes] == [t for _, t in joined.dtypes]
         assert plain(held) == plain(joined)
+
+
+def test_ngrams_one_by_one(spark):
+    from gramloom.operators import lookup
+
+    m = estimate.build(sents(spark, C1), BuildConfig(order=2))
+    some = ordering.Ngrams(ordering.joint_walk(m.rows.where("ngram <> '<unk>'")))
+    grams = [r.ngram for r in some]
+    assert len(grams) == len(some) == m.rows.count() - 1 and grams == sorted(grams, key=lambda g: g.split(" "))
+    held = lookup.arrays_of(m)
+    assert held.nbytes > lookup.ENTRY_BYTES * len(some)

@@ -26,3 +26,31 @@ def test_scored_stream(spark, tmp_path):
     query.awaitTermination()
     got = {r.doc_id: (r.tokens, r.oov) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (4, 0), 1: (2, 0)}
+
+
+def test_chains(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from gramloom.errors import ConfigError
+    from gramloom.streaming.chain import Chain, ChainConfig, source
+
+    rows = spark.createDataFrame([(3,), (1,), (2,), (1,)], "x int")
+    plain = Chain().add("double", lambda d: d.select((F.col("x") * 2).alias("x")))
+    chain = plain.sort("x", distinct=True)
+    assert [r.x for r in chain.run(rows).collect()] == [2, 4, 6] and [r.x for r in plain.sort("x").run(rows).collect()] == [2, 2, 4, 6]
+    assert chain.position("sort") == 1 and len(plain.steps) == 1 and sorted(r.x for r in chain.run(rows, upto="double").collect()) == [2, 2, 4, 6]
+    for bad in (lambda: plain.add("double", None), lambda: ChainConfig(batch_rows=0)):
+        with pytest.raises(ConfigError):
+            bad()
+    for k in range(5):
+        rows.coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ChainConfig(batch_rows=77).apply(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    sizes = []
+    stream = plain.run(source(spark, str(tmp_path / "in" / "*"), "x int", ChainConfig(files_per_trigger=2)))
+    query = stream.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sizes == [8, 8, 4]
