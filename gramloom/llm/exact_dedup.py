@@ -73,7 +73,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
     found = scratch(exact_dedup(docs).select("doc_id", "kept"), "exact-found")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay"))
-    simple = ids.where("n = stay and doc_id is not null")  # every row of this id stays
     gone = ids.where("stay = 0 and doc_id is not null").select("doc_id")
     mixed = scratch(ids.where("(stay > 0 and stay < n) or doc_id is null").select(F.col("doc_id").alias("__mixed_id")), "exact-mixed")
     gone = gone.select(F.col("doc_id").alias("__gone_id"))
