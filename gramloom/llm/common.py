@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES, ROW_BYTES = 16_000_000, 32
 #: Bytes of the batches that tasks exchange with Python (Spark's own bound is 64 MB, held several times over).
 BATCH_BYTES = 8_000_000
+#: Bytes that a task holds of a scratch table before it writes them.
+ROW_GROUP = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 def scratch(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs only its own tasks."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
