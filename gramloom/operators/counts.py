@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,11 @@ def continuation_counts(counts: DataFrame) -> DataFrame:
     return longer.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("cc"))
 
 
-def effective_counts(counts: DataFrame, order: int, marked_raw: bool = False, unigrams_raw: bool = True) -> DataFrame:
+def effective_counts(counts: DataFrame, order: int, marked_raw: bool = False, unigrams_raw: bool = True, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """n, ngram, c, e: the count at the highest order (and of single words, if unigrams_raw), else the continuation count.
 
-    marked_raw: n-grams that begin with <s>, which nothing can precede, keep their count.
+    marked_raw: n-grams that begin with <s>, which nothing can precede, keep their count. store: keeps what had to be
+    counted anew, for callers that read the result several times.
     """
     raw = F.col("n") == order
     raw = raw | (F.col("n") == 1) if unigrams_raw else raw
@@ -57,7 +60,8 @@ def effective_counts(counts: DataFrame, order: int, marked_raw: bool = False, un
     longer = counts.where(F.col("n") > (2 if unigrams_raw else 1)).select((F.col("n") - 1).alias("n"), T.suffix("ngram").alias("ngram"), none.alias("c"), F.lit(1).cast("long").alias("cc"))
     met = counts.where(~raw).select("n", "ngram", "c", none.alias("cc")).unionByName(longer).groupBy("n", "ngram").agg(F.sum("c").alias("c"), F.sum("cc").alias("cc")).where("c > 0")
     e = F.when(T.first_word("ngram") == BOS, F.col("c")).otherwise(F.col("cc")) if marked_raw else F.col("cc")
-    return plain.unionByName(met.select("n", "ngram", "c", e.alias("e")))
+    met = met.select("n", "ngram", "c", e.alias("e"))
+    return plain.unionByName(store(met) if store else met)
 
 
 def context_stats(effective: DataFrame) -> DataFrame:

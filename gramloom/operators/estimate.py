@@ -30,9 +30,7 @@ def unigram_probs(counts: DataFrame, discount: float = 0.75) -> DataFrame:
 
 def _reference(counts: DataFrame, config: BuildConfig) -> DataFrame:
     d, order = config.discount, config.order
-    # With two orders all counts are raw ones; else they're read several times.
-    effective = C.effective_counts(counts, order)
-    effective = scratch(effective, "effective") if order > 2 else effective
+    effective = C.effective_counts(counts, order, store=(lambda df: scratch(df, "effective")) if order > 2 else None)  # of two orders all counts are raw ones
     stats = C.context_stats(effective)
     lower = unigram_probs(counts, d).select("n", "ngram", "prob")
     made = [lower]

@@ -14,7 +14,7 @@ from gramloom.operators import corpus, estimate, filters, model, ordering, quant
 from gramloom.operators import counts as C
 from gramloom.plans import sql as S
 from gramloom.sources import arpa, store
-from gramloom.storage import ranked, scratch, shared_dir, table
+from gramloom.storage import ranked, scratch, shared_dir, spread, table
 from gramloom.streaming.scoring import windowed_counts
 
 QUERIES = {}
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.sentences(table(spark, sf_dir, "documents"))
+    return corpus.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{sf_dir}/documents.parquet"))
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,22 @@ from gramloom.errors import ConfigError
 BROADCAST_BYTES, ROW_BYTES = 32_000_000, 32
 
 
+#: Bytes of files up to which their rows are dealt out anew.
+SPREAD_BYTES = 64_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, read from path, dealt to all cores if its files are so few and small that their splits don't reach them."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; one is made only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
