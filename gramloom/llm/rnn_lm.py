@@ -31,12 +31,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import bounded_batches, released, scratch, slices, text_or_empty
 
-#: Words with an embedding and an output weight of their own, and words whose counts every task gets (about 25 bytes each).
+#: Words with an embedding and an output weight of their own, and most words whose counts every task gets (about 25 bytes each).
 HEAD, KNOWN = 4096, 300_000
 HIDDEN, BINS = 16, 40
 #: Steps of a window, and lanes of texts that go through the network side by side.
@@ -122,9 +122,13 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Vocabulary:
-    """Bounded: `known` words, and one row per shape, come to the driver."""
+    """The words above the lowest count that leaves at most `known` of them, and the end. These, and one row per shape, come to the driver."""
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(known).toArrow()
+    # One row for each count there is; words of equal counts are in or out together, so nothing of the size of the table is sorted.
+    ahead = F.sum("n").over(Window.orderBy(F.col("c").desc()))
+    cut = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", ahead).where(F.col("ahead") > known).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    top = counts.where((F.col("c") > cut) | (F.col("word") == F.lit(END))).toArrow()
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
     words, c, shapes = top["word"].to_pylist(), top["c"].to_numpy(), top["shape"].to_numpy()
     if END not in words[:head]:  # only in corpora of almost no text
         at = words.index(END) if END in words else -1

@@ -140,3 +140,15 @@ def test_training_carries_the_state_through_a_long_text(monkeypatch):
         if at % rnn_lm.WINDOW == 0:
             assert np.allclose(seen[at // rnn_lm.WINDOW - 1][0], h[0], atol=1e-5)
     assert len(seen) == -(-200 // rnn_lm.WINDOW)
+
+
+def test_known_words_are_those_above_a_count(spark):
+    texts = ["a a a a b b b c c d d e f g", "END b a c"]
+    counts = rnn_lm.count_words(frame(spark, texts))
+    all_words = {r.word: r.c for r in counts.collect()}
+    for known in (1, 2, 4, 5, 100):
+        v = rnn_lm.vocabulary(counts, head=3, known=known)
+        got = dict(zip(v.words, v.counts.tolist(), strict=True))
+        assert rnn_lm.END in got and all(all_words[w] == c for w, c in got.items()) and len(got) <= known + 1
+        least = min((c for w, c in got.items() if w != rnn_lm.END), default=10**9)
+        assert all(c <= least or w in got for w, c in all_words.items()) and v.total == sum(all_words.values()) and v.types == len(all_words)
