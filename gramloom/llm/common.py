@@ -60,7 +60,11 @@ def release(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's batches between tasks and Python to BATCH_BYTES, where it allows more."""
+    """Holds the session's batches between tasks and Python to BATCH_BYTES, where it allows more, and lets small shuffles end in
+
+    as few tasks and files as the session's partition size says, not in one for each core.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))

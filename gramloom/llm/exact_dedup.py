@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import maybe_broadcast, scratch, text_or_empty
+from gramloom.llm.common import bounded_batches, maybe_broadcast, scratch, text_or_empty
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -51,6 +51,7 @@ def _labelled(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = hash128) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. hash_of: the 128-bit hash (tests pass a weak one)."""
+    bounded_batches(docs.sparkSession)
     keys = _normalised(docs, hash_of).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_cp", "h", F.sha2("norm", 256).alias("text_sha256"))
     keys = scratch(keys, "exact-keys")
     groups = scratch(keys.groupBy("h").agg(*_best()).where("group_size > 1"), "exact-groups")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import maybe_broadcast, scratch
+from gramloom.llm.common import bounded_batches, maybe_broadcast, scratch
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: One histogram level has 16 ** CELL_HEX cells.
@@ -64,6 +64,7 @@ def planned(rows: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budge
     weights are dealt to the sources in code-point order, again and again; budget: share of all sizes to take; epochs:
     the most repetitions of a source. uid is a row's place, of monotonically_increasing_id().
     """
+    bounded_batches(rows.sparkSession)
     rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     narrow = rows.select("doc_id", "source", "size", "uid", "h")
     sized = narrow.groupBy("source").agg(F.sum("size").alias("size"))

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramloom.llm.common import bounded_batches, maybe_broadcast, release, released, scratch, slices, text_or_empty
@@ -266,15 +266,14 @@ def surest_of(pool: DataFrame) -> Teacher:
             if best is not None:
                 yield from best.to_batches()
 
-        found = scratch(pool.mapInArrow(released(run), _FEATURES + ", p double"), "quality-surest")
-        out: Taught = {}
-        for label, n, sure, order in ((1.0, n_good, "p > 0.95", F.col("p").desc()), (0.0, n_bad, "p < 0.05", F.col("p").asc())):
-            got = found.where(sure).orderBy(order, "doc_id", "uid").limit(n).toArrow()
-            text, meta = _unpacked(got)
-            out |= {int(u): (text[k], meta[k], label) for k, u in enumerate(got["uid"].to_pylist())}
+        # Ranks are limited in each partition before the shuffle.
+        found = pool.mapInArrow(released(run), _FEATURES + ", p double").withColumn("label", (F.col("p") > 0.5).cast("double"))
+        place = F.row_number().over(Window.partitionBy("label").orderBy(F.abs(F.col("p") - F.col("label")), "doc_id", "uid"))
+        found = found.withColumn("place", place).where(F.col("place") <= max(n_good, n_bad))
+        got = found.where(F.col("place") <= F.when(F.col("label") == 1, n_good).otherwise(n_bad)).toArrow()
         sent.destroy()
-        release(found)
-        return out
+        text, meta = _unpacked(got)
+        return {int(u): (text[k], meta[k], label) for k, (u, label) in enumerate(zip(got["uid"].to_pylist(), got["label"].to_pylist(), strict=True))}
 
     return surest
 
@@ -286,10 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, **how) ->
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     marks = scratch(marks, "quality-marks")
     got = rows.join(maybe_broadcast(marks), rows["doc_id"] == marks["id"]).orderBy(F.xxhash64("id"), "id", "uid").limit(labelled).select(*rows.columns, "good").toArrow()
-    pool = scratch(rows.join(maybe_broadcast(marks.select("id")), rows["doc_id"] == marks["id"], "left_anti"), "quality-pool")
+    pool = rows.join(maybe_broadcast(marks.select("id")), rows["doc_id"] == marks["id"], "left_anti")
     text, meta = _unpacked(got)
     out = taught_rounds(text, meta, got["good"].to_numpy().astype(int), surest_of(pool), **how)
-    release(rows, marks, pool)
+    release(rows, marks)
     return out
 
 
