@@ -19,7 +19,7 @@ import numpy as np
 from gramloom.llm.common import chunks
 
 #: Characters of a chunk: more find more pieces that are the same, and take more memory (about 60 bytes each).
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 800_000
 #: Bytes of the longest piece that numpy merges; the library's time doesn't grow with the square of a piece.
 LONGEST = 256
 
