@@ -8,26 +8,49 @@ from pyspark.sql import functions as F
 from gramloom.llm.common import maybe_broadcast, release, scratch
 
 
+def _ends(up: DataFrame) -> DataFrame:
+    """up(node, label), where labels are smaller than their nodes -> the same nodes with the ends of their chains; up is released."""
+    while True:
+        known = maybe_broadcast(up.select(F.col("node").alias("label"), F.col("label").alias("far")))
+        step = up.join(known, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved"))
+        step = scratch(step, "labels")
+        release(up)
+        if step.where("moved").isEmpty():
+            return step
+        up = step
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs -> (node, label): the smallest node that can be reached. Nodes without links aren't listed.
 
-    In each round a node takes the smallest label among its neighbours' and its own, then its label's label, so that
-    labels travel twice as far each time; it ends when no label changes.
+    In each round a node that has smaller neighbours goes to the smallest of them, from there to that one's, and so on, in
+    chains that are followed twice as far at each step. Links move with their ends; those within one node are dropped, and of
+    equal ones but one is kept, so that the next round joins only what still parts two nodes. A node that is left either took
+    in all its neighbours or has a smaller one in the next round, so every two rounds halve the nodes that have links.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = scratch(both, "links")
-    labels = stored = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    pair = lambda a, b: (F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+    left = scratch(links.select(*pair("a", "b")).where("low <> high").distinct(), "links")
+    found = None
     while True:
-        known = maybe_broadcast(labels.select(F.col("node").alias("b"), F.col("label").alias("near")))
-        least = both.join(known, "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(maybe_broadcast(least.withColumnRenamed("a", "node")), "node").select("node", "label", F.least("label", "near").alias("new"))
-        step = scratch(step, "labels")
-        far = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        jumped = step.join(maybe_broadcast(far), "new").select("node", "label", F.least("new", "far").alias("new"))
-        jumped = scratch(jumped, "labels")
-        changed = not jumped.where("new <> label").isEmpty()
-        release(stored, step)
-        labels, stored = jumped.select("node", F.col("new").alias("label")), jumped
-        if not changed:
-            release(both)
-            return labels
+        up = _ends(scratch(left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("label")), "labels"))
+        known = maybe_broadcast(up.select(F.col("node").alias("high"), "label"))
+        moved = left.join(known, "high").where("low <> label").select("low", "label").distinct()
+        known = maybe_broadcast(up.select(F.col("node").alias("low"), F.col("label").alias("end")))
+        moved = moved.join(known, "low", "left").select(*pair(F.coalesce("end", "low"), F.col("label"))).where("low <> high").distinct()
+        moved = scratch(moved, "links")
+        release(left)
+        left = moved
+        if found is None:
+            found = up
+        else:
+            far = maybe_broadcast(up.select(F.col("node").alias("label"), F.col("label").alias("far")))
+            step = found.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+            step = scratch(step.unionByName(up.select("node", "label")), "labels")
+            release(found, up)
+            found = step
+        if left.isEmpty():
+            break
+    out = found.select("node", "label")
+    out = scratch(out.unionByName(out.select(F.col("label").alias("node"), "label").distinct()), "labels")
+    release(left, found)
+    return out
