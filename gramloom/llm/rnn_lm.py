@@ -22,14 +22,13 @@ empty result; other columns aren't read.
 from __future__ import annotations
 
 import dataclasses
-import itertools
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,20 +52,45 @@ END = b"\n"
 
 # --- words ----------------------------------------------------------------------------------------------------------
 
-_FINAL = {**{c: 1 for c in b".!?"}, **{c: 2 for c in b",;:"}, **{c: 3 for c in b"0123456789"}, **{c: 4 for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".!?,;:"}}
-_LAST = {c: 1 + g for g, letters in enumerate((b"e", b"aiouy", b"ns", b"rltd", b"bcfghjkmpqvwxz")) for c in letters}
+_STRIPPED = ".!?,;:#$%&*|"
+_FINAL, _LAST = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_FINAL[[c for c in range(33, 127) if not chr(c).isalnum()]] = 4
+for _group, _marks in enumerate((b".!?", b",;:", b"0123456789"), 1):
+    _FINAL[list(_marks)] = _group
+for _group, _letters in enumerate((b"e", b"aiouy", b"ns", b"rltd", b"bcfghjkmpqvwxz"), 1):
+    _LAST[list(_letters)] = _group
 SHAPES = 5 * 2 * 6
 
 
-def shape(word: bytes) -> int:
-    """How a word ends, whether it has letters beyond ASCII, and what its last letter is."""
-    end = _FINAL.get(word[-1], 0)
-    core = word.rstrip(b".!?,;:#$%&*|")
-    return (end * 2 + (not word.isascii())) * 6 + (_LAST.get(core[-1], 0) if core else 0)
+def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The last byte of each of some strings (0: of an empty one), and their lengths."""
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1]
+    sizes = np.diff(places)
+    last = np.zeros(len(words), np.uint8)
+    if data is not None:
+        last[sizes > 0] = np.frombuffer(data, np.uint8)[places[1:][sizes > 0] - 1]
+    return last, sizes
 
 
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode("utf-8", "replace").lower().split(), END]
+def shapes(words: pa.Array) -> np.ndarray:
+    """How each word ends, whether it has letters beyond ASCII, and what its last letter is."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    odd = ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    return (_FINAL[_ends(words)[0]] * 2 + odd) * 6 + _LAST[_ends(pc.ascii_rtrim(words, _STRIPPED))[0]]
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text (without its end), and all words."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    parts = pc.ascii_split_whitespace(texts)
+    numbers, words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), parts.flatten()
+    empty = _ends(texts)[1] == 0
+    if empty.any():  # one empty word each
+        numbers[empty] = 0
+        words = words.filter(pc.not_equal(words, ""))
+    return numbers, words
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -74,24 +98,37 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def count_words(docs: DataFrame, most: int = 500_000) -> DataFrame:
-    """word, shape, c over all rows of docs(text). A task sends what it has counted when it holds `most` words."""
+    """word, shape, c over all rows of docs(text).
+
+    A task adds up the counts of its batches when they have 2 `most` rows, and sends them on if they are of `most` words then.
+    """
     schema = pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(counts: Counter) -> Iterator[pa.RecordBatch]:
-            words = list(counts)
+        def sent(words: pa.Array, counts: pa.Array) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([-1 if w == END else shape(w) for w in some], pa.int32()), pa.array([counts[w] for w in some], pa.int64())], schema=schema)
+                some = words.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([some.cast(pa.binary()), pa.array(shapes(some).astype(np.int32)), counts.slice(at, 50_000)], schema=schema)
+
+        def merged(held: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
-        counts: Counter = Counter()
+        held, n, ends = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) >= most:
-                    yield from sent(counts)
-                    counts = Counter()
-        yield from sent(counts)
+            counted = split(batch.column(0))[1].value_counts()
+            held.append(pa.table([counted.field(0), counted.field(1)], ["word", "c"]))
+            n += len(counted)
+            ends += batch.num_rows
+            if n >= 2 * most:
+                held = [merged(held)]
+                n = held[0].num_rows
+                if n >= most:
+                    yield from sent(*(held[0][c].chunk(0) for c in ("word", "c")))
+                    held, n = [], 0
+        if n:
+            yield from sent(*(merged(held)[c].chunk(0) for c in ("word", "c")))
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([-1], pa.int32()), pa.array([ends], pa.int64())], schema=schema)
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(released(run), "word binary, shape int, c long")
     return rows.groupBy("word", "shape").agg(F.sum("c").alias("c"))
@@ -146,23 +183,46 @@ def vocabulary(counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Vocab
 
 
 class Reader:
-    """Turns texts into the network's symbols: a head word's place, or head + shape."""
+    """Turns texts into the network's symbols: a head word's place, or head + shape; and sums what is known of their words.
+
+    What holds of the known words lies in arrays by place; the place -1, of rarer words, is the arrays' last one.
+    """
 
     def __init__(self, v: Vocabulary):
-        self.v = v
-        self.places = {w: k for k, w in enumerate(v.words)}
-        self.symbols = np.where(np.arange(len(v.words)) < v.head, np.arange(len(v.words)), v.head + v.shapes)
-        self.end = self.places[END]
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols, places among the known words (-1: rarer), and the rarer words in their order."""
-        words = tokens(text)
-        places = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
-        symbols = self.symbols[places]
+        self.v, self.words, self.end = v, pa.array(v.words, pa.binary()), v.words.index(END)
+        own, logs = np.arange(len(v.words)) < v.head, np.log10(v.counts + 0.5)
+        self.symbols = np.append(np.where(own, np.arange(len(v.words)), v.head + v.shapes), 0).astype(np.int32)
+        self.known, self.logs = np.append(v.counts > 0, 0).astype(np.int64), np.append(logs, 0)
+        self.tail = np.append(np.where(own, 0, logs - v.shape_log[np.where(own, 0, v.shapes)]), 0)
+
+    def read(self, parts: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], tuple[pa.Array, np.ndarray, np.ndarray]]]:
+        """For each part, of one text at least: the texts' numbers of tokens, and all their symbols; of each text's known words their number, base and tail
+
+        (see read()); and the rarer words, each once for a text: words, their numbers, and where each text's begin and end.
+        """
+        cut = [split(texts) for texts in parts]
+        places = pc.index_in(pa.chunked_array([words for _, words in cut], pa.string()).cast(pa.binary()), value_set=self.words)  # the set is hashed at each call
+        at = 0
+        for sizes, words in cut:
+            yield self._read(sizes + 1, words, pc.fill_null(places.slice(at, len(words)), -1).to_numpy())
+            at += len(words)
+
+    def _read(self, sizes: np.ndarray, words: pa.Array, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], tuple[pa.Array, np.ndarray, np.ndarray]]:
+        v = self.v
+        ends = np.cumsum(sizes)
+        places, is_word = np.full(ends[-1], self.end), np.ones(ends[-1], bool)
+        is_word[ends - 1] = False
+        places[is_word] = found
+        symbols, tail = self.symbols.take(places), self.tail.take(places)
         odd = np.flatnonzero(places < 0)
-        rare = [words[k] for k in odd]
-        symbols[odd] = [self.v.head + shape(w) for w in rare]
-        return symbols, places, rare
+        rare = words.filter(pa.array(found < 0)).dictionary_encode()
+        kinds, which = shapes(rare.dictionary), rare.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        symbols[odd], tail[odd] = v.head + kinds[which], -v.shape_log[kinds[which]]
+        sums = [np.add.reduceat(x, ends - sizes) for x in (self.known.take(places), self.logs.take(places), tail)]
+        sums[1] -= v.base_log * sizes
+        types = max(len(kinds), 1)
+        each, numbers = np.unique(np.searchsorted(ends, odd, "right") * types + which, return_counts=True)
+        return sizes, symbols, sums, (rare.dictionary.take(pa.array(each % types)), numbers, np.searchsorted(each // types, np.arange(len(sizes) + 1)))
 
 
 # --- the network ----------------------------------------------------------------------------------------------------
@@ -212,6 +272,7 @@ def _lanes(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray, np
 
 
 def _cell(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step, written plainly. Keep, reset, the new value, the state's part of it, and the state after."""
     n = h.shape[1]
     hu = h @ w["state"]
     gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
@@ -220,6 +281,38 @@ def _cell(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     return keep, reset, new, hu[:, 2 * n :], new + keep * (h - new)
 
 
+def _forward(w: dict[str, np.ndarray], inputs: np.ndarray, opens: np.ndarray, h: np.ndarray, all_parts: bool = True) -> tuple[np.ndarray, ...]:
+    """As _cell(), for all steps of lanes (steps, lanes). Whether the state goes on, keep and reset, new values, the state's part
+
+    of them, states before (those of the last step only, if not all_parts) and after. Parts lie apart, so that each operation
+    runs through memory in one go.
+    """
+    (steps, n), hidden, kind = inputs.shape, h.shape[1], w["state"].dtype
+    goes = (~opens).astype(kind)[..., None]
+    x = w["embed"].reshape(-1, hidden).take(3 * inputs + np.arange(3)[:, None, None], 0)
+    state = w["state"].reshape(hidden, 3, hidden).swapaxes(0, 1).copy()
+    held = steps if all_parts else 1
+    gates, got, after = np.empty((2, held, n, hidden), kind), np.empty((3, n, hidden), kind), np.empty((steps, n, hidden), kind)
+    new, hu, before = np.empty((3, held, n, hidden), kind)
+    for t in range(steps):
+        k = t % held
+        np.multiply(h, goes[t], out=before[k])
+        np.matmul(before[k], state, out=got)
+        gate = np.add(x[:2, t], got[:2], out=gates[:, k])
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        hu[k] = got[2]
+        value = np.multiply(gate[1], got[2], out=new[k])
+        value += x[2, t]
+        np.tanh(value, out=value)
+        h = np.subtract(before[k], value, out=after[t])
+        h *= gate[0]
+        h += value
+    return goes, gates, new, hu, before, after
+
+
 def _class_of(v: Vocabulary, targets: np.ndarray) -> np.ndarray:
     return np.where(targets < v.head, v.bin_of[np.minimum(targets, v.head - 1)], v.n_bins + targets - v.head)
 
@@ -245,23 +338,42 @@ def _chance_of(x: np.ndarray, at: np.ndarray, narrow: bool) -> np.ndarray:
     return picked - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
+def _with_bias(x: np.ndarray, bias: np.ndarray | float) -> np.ndarray:
+    """x and one more column: a bias for each row of weights, 1 for states."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x, bias
+    return out
+
+
+def _slopes(own: np.ndarray, weights: np.ndarray, at: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the loss by states, weights and biases, where each state should give the choice `at`. Both have their biases' column.
+
+    A state's share of each choice is e, exp of the logits, over its sum, less one at the right one; states are divided, not e.
+    """
+    e, total = _raised(own @ weights.T, narrow)
+    e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + at] -= total
+    share = 1 / total
+    by_state = e @ weights[:, :-1]
+    by_state *= share[:, None]
+    return by_state, e.T @ (own[:, :-1] * share[:, None]), share @ e
+
+
 def log_chances(v: Vocabulary, w: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of the chance of each target symbol: its class's, and for a head word its own within its bin."""
     kind = _class_of(v, targets)
     out = np.empty(len(h))
     narrow = _narrow(w["class"], w["class_bias"]) and _narrow(w["word"].T, w["word_bias"]) and bool(len(h)) and float(np.abs(h).max()) <= 1
+    h, classes, words = _with_bias(h, 1), _with_bias(w["class"].T, w["class_bias"]), _with_bias(w["word"], w["word_bias"])
     for at in range(0, len(h), ROWS):  # a slice's logits stay in the processor's cache
-        x = h[at : at + ROWS] @ w["class"]
-        x += w["class_bias"]
-        out[at : at + ROWS] = _chance_of(x, kind[at : at + ROWS], narrow)
+        out[at : at + ROWS] = _chance_of(h[at : at + ROWS] @ classes.T, kind[at : at + ROWS], narrow)
     by = np.argsort(kind.astype(np.int16), kind="stable")
     cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
+    h, targets, of_word = h.take(by, 0), targets[by], np.zeros(len(h))
     for b in range(v.n_bins):
-        rows, (a, z) = by[cuts[b] : cuts[b + 1]], v.bin_start[b : b + 2]
-        if len(rows) and z - a > 1:
-            x = h[rows] @ w["word"][a:z].T
-            x += w["word_bias"][a:z]
-            out[rows] += _chance_of(x, targets[rows] - a, narrow)
+        rows, (a, z) = slice(cuts[b], cuts[b + 1]), v.bin_start[b : b + 2]
+        if cuts[b] < cuts[b + 1] and z - a > 1:
+            of_word[rows] = _chance_of(h[rows] @ words[a:z].T, targets[rows] - a, narrow)
+    out[by] += of_word
     return out
 
 
@@ -271,21 +383,17 @@ def text_log_chances(v: Vocabulary, w: dict[str, np.ndarray], docs: list[np.ndar
     if not docs:
         return total
     inputs, targets, text, opens, going = _lanes(docs, lanes, end)
-    hidden = w["state"].shape[0]
-    h = np.zeros((inputs.shape[1], hidden), np.float32)
+    h = np.zeros((inputs.shape[1], w["state"].shape[0]), w["state"].dtype)
     for at in range(0, len(inputs), 4 * WINDOW):
-        states, which = [], []
-        for t in range(at, min(at + 4 * WINDOW, len(inputs))):
-            n = going[t]
-            h = h[:n].copy()  # the last one is still to be scored
-            h[opens[t, :n]] = 0
-            h = _cell(w, w["embed"][inputs[t, :n]], h)[-1]
-            states.append(h)
-            which.append(n)
-        window = slice(at, at + len(which))
-        there = np.arange(inputs.shape[1]) < np.array(which)[:, None]
-        logs = log_chances(v, w, np.concatenate(states), targets[window][there])
-        total += np.bincount(text[window][there], logs, minlength=len(docs))
+        end_at, states, n = min(at + 4 * WINDOW, len(inputs)), [], going[at]
+        for k in range(at, end_at, WINDOW):
+            part = slice(k, min(k + WINDOW, end_at))
+            states.append(_forward(w, inputs[part, :n], opens[part, :n], h[:n], False)[-1])
+            h = states[-1][-1]
+        # A lane that has ended goes on, but nothing of that is scored.
+        there = np.arange(n) < going[at:end_at, None]
+        logs = log_chances(v, w, np.concatenate(states)[there], targets[at:end_at, :n][there])
+        total += np.bincount(text[at:end_at, :n][there], logs, minlength=len(docs))
     return total
 
 
@@ -298,8 +406,11 @@ class Trainer:
 
     def _step(self, name: str, slope: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         slope = np.clip(slope, -5, 5)
-        self.squares[name][rows] += slope * slope
-        self.w[name][rows] -= RATE * slope / np.sqrt(self.squares[name][rows])
+        squares = self.squares[name][rows] + slope * slope
+        self.squares[name][rows] = squares
+        slope *= RATE
+        slope /= np.sqrt(squares, out=squares)
+        self.w[name][rows] -= slope
 
     def texts(self, docs: list[np.ndarray], end: int, lanes: int = LANES) -> None:
         if not docs:
@@ -312,63 +423,32 @@ class Trainer:
     def window(self, inputs: np.ndarray, targets: np.ndarray, opens: np.ndarray, going: np.ndarray, h: np.ndarray) -> np.ndarray:
         v, w = self.v, self.w
         steps, n, hidden = len(inputs), int(going[0]), w["state"].shape[0]
-        kind_of, both = w["state"].dtype, slice(0, 2 * hidden)
-        inputs, goes = inputs[:, :n], (~opens[:, :n]).astype(kind_of)[..., None]
-        # Gates, new values and states of all steps; a lane that has ended goes on, but nothing of that is learnt.
-        gates, new, hu, before, after = (np.empty((steps, n, k * hidden), kind_of) for k in (2, 1, 1, 1, 1))
-        x = w["embed"][inputs]
-        h = h[:n]
-        for t in range(steps):
-            np.multiply(h, goes[t], out=before[t])
-            got = before[t] @ w["state"]
-            gate = np.add(x[t, :, both], got[:, both], out=gates[t])
-            gate *= 0.5
-            np.tanh(gate, out=gate)
-            gate *= 0.5
-            gate += 0.5
-            hu[t] = got[:, 2 * hidden :]
-            value = np.multiply(gate[:, hidden:], hu[t], out=new[t])
-            value += x[t, :, 2 * hidden :]
-            np.tanh(value, out=value)
-            h = np.subtract(before[t], value, out=after[t])
-            h *= gate[:, :hidden]
-            h += value
-        keep, reset = gates[..., :hidden], gates[..., hidden:]
+        inputs, kind_of = inputs[:, :n], w["state"].dtype
+        # A lane that has ended goes on, but nothing of that is learnt.
+        goes, (keep, reset), new, hu, before, after = _forward(w, inputs, opens[:, :n], h[:n])
         there = None if going[-1] == n else np.flatnonzero((np.arange(n) < going[:, None]).ravel())
         states, goal = after.reshape(-1, hidden), targets[:, :n].ravel()
         if there is not None:
-            states, goal = states[there], goal[there]
+            states, goal = states.take(there, 0), goal[there]
         kind = _class_of(v, goal).astype(np.int16)
         narrow = _narrow(w["class"], w["class_bias"]) and _narrow(w["word"].T, w["word_bias"])
-        # Classes: of e, exp of the logits, a row's share is e over its sum, less one at its own class.
-        slope, to_class, to_bias = np.empty_like(states), np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
+        states, slope = _with_bias(states, 1), np.empty_like(states)
+        classes, words = _with_bias(w["class"].T, w["class_bias"]), _with_bias(w["word"], w["word_bias"])
+        to = {k: np.zeros_like(w[k].T if k == "class" else w[k]) for k in ("class", "class_bias", "word", "word_bias")}
         for at in range(0, len(states), ROWS):  # a slice's logits stay in the processor's cache
             some = slice(at, at + ROWS)
-            e = states[some] @ w["class"]
-            e += w["class_bias"]
-            e, total = _raised(e, narrow)
-            share = (1 / total)[:, None]
-            np.multiply(e @ w["class"].T, share, out=slope[some])
-            to_class += (states[some] * share).T @ e
-            to_bias += share[:, 0] @ e
-        slope -= w["class"].T[kind]
+            slope[some], by_class, by_bias = _slopes(states[some], classes, kind[some], narrow)
+            to["class"] += by_class
+            to["class_bias"] += by_bias
         by = np.argsort(kind, kind="stable")
-        present, first = np.unique(kind[by], return_index=True)
-        to_class[:, present] -= np.add.reduceat(states[by], first).T
-        to_bias[present] -= np.diff(np.append(first, len(kind)))
-        found = [("class", to_class, slice(None)), ("class_bias", to_bias, slice(None))]
         cuts = np.searchsorted(kind[by], np.arange(v.n_bins + 1))
+        states, goal, of_word = states.take(by, 0), goal[by], np.zeros_like(slope)
         for b in range(v.n_bins):
-            rows, (a, z) = by[cuts[b] : cuts[b + 1]], v.bin_start[b : b + 2]
-            if len(rows) and z - a > 1:
-                own = states[rows]
-                p = own @ w["word"][a:z].T
-                p += w["word_bias"][a:z]
-                p, total = _raised(p, narrow)
-                p /= total[:, None]
-                p[np.arange(len(rows)), goal[rows] - a] -= 1
-                slope[rows] += p @ w["word"][a:z]
-                found += [("word", p.T @ own, slice(a, z)), ("word_bias", np.ones(len(p), p.dtype) @ p, slice(a, z))]
+            rows, (a, z) = slice(cuts[b], cuts[b + 1]), v.bin_start[b : b + 2]
+            if cuts[b] < cuts[b + 1] and z - a > 1:
+                of_word[rows], to["word"][a:z], to["word_bias"][a:z] = _slopes(states[rows], words[a:z], goal[rows] - a, narrow)
+        slope += of_word.take(np.argsort(by), 0)
+        found = [(k, x.T if k == "class" else x, slice(None)) for k, x in to.items()]
         if there is not None:
             whole = np.zeros((steps * n, hidden), slope.dtype)
             whole[there] = slope
@@ -380,27 +460,29 @@ class Trainer:
         to_keep *= 1 - keep
         to_reset = hu * reset
         to_reset *= 1 - reset
-        inner, to_state = np.empty((2, steps, n, 3 * hidden), kind_of)
+        back = w["state"].T.reshape(3, hidden, hidden)
+        to_state, to_input, got = np.empty((3, steps, n, hidden), kind_of), np.empty((steps, n, hidden), kind_of), np.empty((3, n, hidden), kind_of)
         later = np.zeros((n, hidden), kind_of)
         for t in range(steps - 1, -1, -1):
             d = np.add(slope[t], later, out=later)
-            d_new = np.multiply(d, to_new[t], out=inner[t, :, 2 * hidden :])
-            np.multiply(d, to_keep[t], out=inner[t, :, :hidden])
-            np.multiply(d_new, to_reset[t], out=inner[t, :, hidden : 2 * hidden])
-            to_state[t, :, both] = inner[t, :, both]
-            np.multiply(d_new, reset[t], out=to_state[t, :, 2 * hidden :])
+            d_new = np.multiply(d, to_new[t], out=to_input[t])
+            np.multiply(d, to_keep[t], out=to_state[0, t])
+            np.multiply(d_new, to_reset[t], out=to_state[1, t])
+            np.multiply(d_new, reset[t], out=to_state[2, t])
             d *= keep[t]
-            d += to_state[t] @ w["state"].T
+            for x in np.matmul(to_state[:, t], back, out=got):
+                d += x
             d *= goes[t]
-            later = d
-        found.append(("state", before.reshape(-1, hidden).T @ to_state.reshape(-1, 3 * hidden), slice(None)))
-        ids, slopes = inputs.ravel(), inner.reshape(-1, 3 * hidden)
+        to_state = to_state.reshape(3, -1, hidden)
+        found.append(("state", np.concatenate(before.reshape(-1, hidden).T @ to_state, 1), slice(None)))
+        ids = inputs.ravel()
         by = np.argsort(ids.astype(np.uint16) if v.head + SHAPES < 65536 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[by], prepend=-1))
-        found.append(("embed", np.add.reduceat(slopes[by], first), ids[by][first]))
+        slopes = [np.add.reduceat(x.take(by, 0), first) for x in (to_state[0], to_state[1], to_input.reshape(-1, hidden))]
+        found.append(("embed", np.concatenate(slopes, 1), ids[by][first]))
         for name, x, rows in found:
             self._step(name, x, rows)
-        return h
+        return after[-1]
 
 
 def _groups(docs: Iterable[np.ndarray], most: int = TOGETHER) -> Iterator[list[np.ndarray]]:
@@ -461,28 +543,13 @@ def read(docs: DataFrame, v: Vocabulary) -> DataFrame:
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("rare", pa.list_(rare_of)), ("symbols", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        reader = Reader(v)
-        logs = np.log10(v.counts + 0.5)
+        reader = Reader(sent.value)
         for batch in batches:
-            for part in slices(batch, "text", CHARS):
-                symbols, columns, rare_words, rare_counts, rare_ends = [], [[] for _ in range(3)], [], [], [0]
-                for text in part.column("text").to_pylist():
-                    s, places, rare = reader.read(text)
-                    symbols.append(s.astype(np.int32))
-                    seen = places[places >= 0]
-                    tail = s[s >= v.head] - v.head
-                    of_tail = logs[places[(places >= 0) & (s >= v.head)]].sum() - v.shape_log[tail].sum()
-                    for column, x in zip(columns, (int((v.counts[seen] > 0).sum()), float(logs[seen].sum() - v.base_log * len(s)), float(of_tail)), strict=True):
-                        column.append(x)
-                    counted = Counter(rare)
-                    rare_words += counted
-                    rare_counts += counted.values()
-                    rare_ends.append(len(rare_words))
-                lists = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], fields=list(rare_of)))
-                sizes = [len(s) for s in symbols]
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(symbols)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(sizes, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), lists, flat], schema=schema)
+            parts = list(slices(batch, "text", CHARS))
+            for part, (sizes, symbols, sums, (words, numbers, cuts)) in zip(parts, reader.read([p.column("text") for p in parts]), strict=True):
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([words.cast(pa.binary()), pa.array(numbers, pa.int64())], fields=list(rare_of)))
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(symbols))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), pa.array(sizes), *map(pa.array, sums), lists, flat], schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInArrow(released(run), _READ)
