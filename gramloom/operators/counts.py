@@ -11,6 +11,7 @@ from gramloom.config import BOS, EOS, SPECIALS, check_order
 from gramloom.errors import DiscountError
 from gramloom.functions import hashing
 from gramloom.functions import text as T
+from gramloom.operators import grams
 
 
 def marked(words: Column | str = "words", bos: bool = True, eos: bool = True) -> Column:
@@ -19,8 +20,10 @@ def marked(words: Column | str = "words", bos: bool = True, eos: bool = True) ->
 
 
 def count_ngrams(sents: DataFrame, order: int, least: int = 1) -> DataFrame:
-    """n, ngram, c over all sentences(words), each between its markers, for n of `least` to `order`."""
+    """n, ngram, c over all sentences(words), or lines of texts(text), each between its markers, for n of `least` to `order`."""
     check_order(order)
+    if order <= grams.MOST:
+        return grams.counted(sents.select("words" if "words" in sents.columns else "text"), order, least)
     return T.exploded_ngrams(sents.select(marked().alias("t")), "t", order, least).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
 
 

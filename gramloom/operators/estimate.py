@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gramloom.config import BOS, UNK, BuildConfig
 from gramloom.functions import text as T
 from gramloom.operators import counts as C
+from gramloom.operators import grams
 from gramloom.operators.model import Model
 from gramloom.storage import scratch, small
 
@@ -98,10 +99,17 @@ def estimate(counts: DataFrame, config: BuildConfig = BuildConfig()) -> DataFram
     return _reference(counts, config) if config.semantics == "reference" else _corrected(counts, config)
 
 
-def build(sents: DataFrame, config: BuildConfig = BuildConfig()) -> Model:
-    """A model from sentences(words). Every n-gram's prefix and suffix are counted too, so the model has no gaps."""
-    counts = scratch(C.count_ngrams(sents, config.order), "counts")
-    rows = scratch(estimate(counts, config), "model")
+def estimated(source: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
+    """As estimate(), of the n-grams of source's sentences(words) or, without such a column, of its texts' lines (text)."""
+    source = source.select("words" if "words" in source.columns else "text")
+    if config.semantics == "reference" and config.order in (2, 3):
+        return grams.reference_model(grams.statistics(source, config.order, scratch), config.discount, LEAST)
+    return estimate(scratch(C.count_ngrams(source, config.order), "counts"), config)
+
+
+def build(source: DataFrame, config: BuildConfig = BuildConfig()) -> Model:
+    """A model from sentences(words) or texts(text). Every n-gram's prefix and suffix are counted too, so the model has no gaps."""
+    rows = scratch(estimated(source, config), "model")
     return Model.from_rows(rows, config.order, semantics=config.semantics, complete=True, flat=config.semantics == "reference")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gramloom.config import BuildConfig
 from gramloom.functions import hashing
 from gramloom.functions import text as T
-from gramloom.operators import corpus, estimate, filters, model, ordering, quantize, score
+from gramloom.operators import corpus, estimate, filters, grams, model, ordering, quantize, score
 from gramloom.operators import counts as C
 from gramloom.plans import sql as S
 from gramloom.sources import arpa, store
@@ -35,6 +35,10 @@ def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{sf_dir}/documents.parquet"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("text"), f"{sf_dir}/documents.parquet")
+
+
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sentences(table(spark, sf_dir, "benchmark"), by="item_id")
 
@@ -45,11 +49,15 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
-    return scratch(C.count_ngrams(_sents(spark, sf_dir), order), "counts")
+    return scratch(C.count_ngrams(_texts(spark, sf_dir), order), "counts")
+
+
+def _statistics(spark: SparkSession, sf_dir: str, order: int) -> grams.Statistics:
+    return grams.statistics(_texts(spark, sf_dir), order, scratch)
 
 
 def _model(spark: SparkSession, sf_dir: str, order: int, semantics: str = "reference") -> model.Model:
-    return estimate.build(_sents(spark, sf_dir), BuildConfig(order=order, semantics=semantics))
+    return estimate.build(_texts(spark, sf_dir), BuildConfig(order=order, semantics=semantics))
 
 
 _DOCS = S.sents()
@@ -66,7 +74,7 @@ def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _add_counts(n: int) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return C.count_ngrams(_sents(spark, sf_dir), n, n).select("ngram", "c")
+        return C.count_ngrams(_texts(spark, sf_dir), n, n).select("ngram", "c")
 
     f.__name__ = f"ngram_counts_{n}"
     query(S.with_(_DOCS, S.counts(n, n)) + "SELECT ngram, c FROM c")(f)
@@ -88,17 +96,17 @@ def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.with_(_DOCS, S.counts(3), S.effective(3)) + "SELECT CAST(n AS INTEGER) AS n, ngram, cc FROM e_cc")
 def continuation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.continuation_counts(_counts(spark, sf_dir, 3)).select(F.col("n").cast("int").alias("n"), "ngram", "cc")
+    return grams.continuation_counts(_statistics(spark, sf_dir, 3))
 
 
 @query(S.with_(_DOCS, S.counts(3), S.effective(3)) + "SELECT n, ngram, c, e FROM e")
 def effective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.effective_counts(_counts(spark, sf_dir, 3), 3)
+    return grams.effective_counts(_statistics(spark, sf_dir, 3))
 
 
 @query(S.with_(_DOCS, S.counts(3), S.effective(3), S.contexts()) + "SELECT n, context, total, followers FROM x")
 def context_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.context_stats(C.effective_counts(_counts(spark, sf_dir, 3), 3))
+    return grams.context_stats(_statistics(spark, sf_dir, 3))
 
 
 _STATS = "st AS (SELECT n, count(*) AS types, count(*) AS unpruned, " + ", ".join(f"count(*) FILTER (e = {k}) AS n{k}" for k in range(5)) + " FROM e GROUP BY n)"
@@ -106,7 +114,7 @@ _STATS = "st AS (SELECT n, count(*) AS types, count(*) AS unpruned, " + ", ".joi
 
 @query(S.with_(_DOCS, S.counts(3), S.effective(3, raw="c.n = 3 OR starts_with(c.ngram, '<s>')"), _STATS) + "SELECT * FROM st")
 def count_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.count_of_counts(C.effective_counts(_counts(spark, sf_dir, 3), 3, marked_raw=True, unigrams_raw=False))
+    return grams.marked_count_of_counts(_statistics(spark, sf_dir, 3))
 
 
 @query(
@@ -115,7 +123,7 @@ def count_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT n, y, d1, d2, d3, d1 BETWEEN 0 AND 1 AND d2 BETWEEN 0 AND 2 AND d3 BETWEEN 0 AND 3 AS ok FROM d"
 )
 def kn_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kn_discounts(C.count_of_counts(C.effective_counts(_counts(spark, sf_dir, 3), 3, marked_raw=True, unigrams_raw=False)))
+    return C.kn_discounts(grams.marked_count_of_counts(_statistics(spark, sf_dir, 3)))
 
 
 _DIRECT = f"""i AS (SELECT c.n, c.ngram, CAST(greatest(c.c - 0.75e0, 0e0) / coalesce(x.total, c.c) AS FLOAT) AS uninterp, CAST(0.75e0 * coalesce(x.f, 1) / coalesce(x.total, c.c) AS FLOAT) AS gamma
@@ -133,7 +141,7 @@ _HASHED = f"hh AS (SELECT {S.SIGNED.format('h')} AS h, CAST(sum(c) AS BIGINT) AS
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = _sents(spark, sf_dir)
-    return C.hashed_counts(C.count_ngrams(sents, 2), corpus.vocab_ids(sents, "doc_id", "line_no"))
+    return C.hashed_counts(C.count_ngrams(_texts(spark, sf_dir), 2), corpus.vocab_ids(sents, "doc_id", "line_no"))
 
 
 @query(S.with_(_DOCS, S.counts(2), S.vocab(), _IDS, _HASHED) + "SELECT h, c FROM hh")
@@ -156,7 +164,7 @@ def unigram_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _add_model(order: int, name: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return estimate.estimate(_counts(spark, sf_dir, order), BuildConfig(order=order)).select("n", "ngram", "prob", "backoff")
+        return estimate.estimated(_texts(spark, sf_dir), BuildConfig(order=order)).select("n", "ngram", "prob", "backoff")
 
     f.__name__ = name
     query(S.with_(_DOCS, S.counts(order), S.model(order)) + f"SELECT n, ngram, prob, CASE WHEN n < {order} THEN CAST(0 AS FLOAT) END AS backoff FROM p")(f)
@@ -318,7 +326,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.count_ngrams(_sents(spark, sf_dir), 1).where("c >= 20 and ngram not in ('<s>', '</s>')")
+    rows = C.count_ngrams(_texts(spark, sf_dir), 1).where("c >= 20 and ngram not in ('<s>', '</s>')")
     return scratch(rows.select(F.col("ngram").alias("word")), "frequent")
 
 
@@ -363,7 +371,7 @@ def phrase_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _add_rank(order: str, key: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ordering.ranked_by(C.count_ngrams(_sents(spark, sf_dir), 3), order).select("n", "ngram", "rank")
+        return ordering.ranked_by(C.count_ngrams(_texts(spark, sf_dir), 3), order).select("n", "ngram", "rank")
 
     f.__name__ = f"{order}_sorted_rank"
     query(S.with_(_DOCS, S.counts(3)) + f"SELECT n, ngram, row_number() OVER (PARTITION BY n ORDER BY {key}) AS rank FROM c")(f)
@@ -406,14 +414,14 @@ UNION ALL SELECT n, 1, string_split(ngram, ' '), printf('%.7f', CAST(prob AS DOU
 @query(S.with_(_DOCS, S.counts(2), S.model(2), _TEXT) + "SELECT section, line, row_number() OVER (ORDER BY section, kind, words) AS rank FROM tx")
 def arpa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text's lines with their places."""
-    rows = scratch(estimate.estimate(_counts(spark, sf_dir, 2), BuildConfig(order=2)), "model")
+    rows = scratch(estimate.estimated(_texts(spark, sf_dir), BuildConfig(order=2)), "model")
     counts = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     return ranked(arpa.arpa_lines(rows, 2, counts), [F.col("section"), F.col("kind"), F.col("key")]).select("section", "line", "rank")
 
 
 @query(S.with_(_DOCS, S.counts(2), S.model(2)) + "SELECT n, ngram, CAST(printf('%.7f', CAST(prob AS DOUBLE)) AS FLOAT) AS prob FROM p")
 def arpa_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scratch(estimate.estimate(_counts(spark, sf_dir, 2), BuildConfig(order=2)), "model")
+    rows = scratch(estimate.estimated(_texts(spark, sf_dir), BuildConfig(order=2)), "model")
     path = f"{shared_dir(spark)}/gramloom/roundtrip-{uuid.uuid4().hex}.arpa"
     arpa.write_rows(rows, 2, path)
     return arpa.read_arpa(spark, path).rows.select("n", "ngram", "prob")
@@ -466,7 +474,7 @@ _BINS = "bi AS (SELECT n, CAST(((r + 1) * 16 + k - 1) // k - 1 AS INTEGER) AS bi
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scratch(estimate.estimate(_counts(spark, sf_dir, 3), BuildConfig(order=3)), "model")
+    return scratch(estimate.estimated(_texts(spark, sf_dir), BuildConfig(order=3)), "model")
 
 
 @query(S.with_(_DOCS, S.counts(3), S.model(3), _PLACED, _BINS) + "SELECT n, bin, round(CAST(centre AS DOUBLE), 4) AS centre FROM bi")
@@ -491,7 +499,7 @@ def quantized_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.with_(_DOCS, S.counts(3), S.vocab(), _IDS) + f"SELECT ngram, {S.SIGNED.format('h')} AS fnv, {S.SIGNED.format('k')} AS chained FROM (SELECT ngram, {S.fnv('ids')} AS h, {S.chain('ids')} AS k FROM w)")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = _sents(spark, sf_dir)
-    parts = C.count_ngrams(sents, 3).select("ngram", F.posexplode(F.split("ngram", " ")).alias("pos", "word"))
+    parts = C.count_ngrams(_texts(spark, sf_dir), 3).select("ngram", F.posexplode(F.split("ngram", " ")).alias("pos", "word"))
     ids = corpus.lookup_ids(parts, corpus.vocab_ids(sents, "doc_id", "line_no")).groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("x"))
     return ids.select("ngram", hashing.fnv1a(F.col("x.word_id")).alias("fnv"), hashing.chain(F.col("x.word_id")).alias("chained"))
 
