@@ -60,3 +60,22 @@ def test_keys_of_many_words():
     a, b, c = (grams.np.array(x) for x in ([3, 1, 3], [2, 2, 1 << 22], [1 << 22, 5, 0]))
     keys, back = grams.triples(a, b, c, (1 << 22) + 1)
     assert [list(x) for x in back(keys)] == [list(a), list(b), list(c)] and len(set(keys)) == 3
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_document_scores_of_large_models(docs, order, monkeypatch):
+    """Texts that ask for their n-grams get the scores that arrays give, unknown words and repeated keys among them."""
+    from gramloom.operators import lookup, score
+
+    known = docs.where("doc_id % 6 < 4")
+    asks = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.sparkSession.createDataFrame([(99, "q a b\nb c a\n<unk> x")], docs.schema))
+    rounded = lambda df: df.select("doc_id", F.round("total", 4).alias("total"), "oov", "tokens")
+    small = rounded(score.document_scores(asks, estimate.build(known, BuildConfig(order=order))))
+    small = small.localCheckpoint()
+    monkeypatch.setattr(lookup, "ARRAY_BYTES", 0)
+    monkeypatch.setattr(grams, "TOKENS", 30)
+    calls, real = [], grams.document_scores
+    monkeypatch.setattr(grams, "document_scores", lambda *a: calls.append(1) or real(*a))
+    same(small, rounded(score.document_scores(asks, estimate.build(known, BuildConfig(order=order)))))
+    assert calls
+    same(small, rounded(score.estimated_scores(asks, known, BuildConfig(order=order))))
