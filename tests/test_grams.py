@@ -79,3 +79,13 @@ def test_document_scores_of_large_models(docs, order, monkeypatch):
     same(small, rounded(score.document_scores(asks, estimate.build(known, BuildConfig(order=order)))))
     assert calls
     same(small, rounded(score.estimated_scores(asks, known, BuildConfig(order=order))))
+
+
+@pytest.mark.parametrize("order", ["suffix", "context", "prefix"])
+def test_ranks(docs, order, monkeypatch):
+    """Ranges of a few n-grams each give the places of a sort by all."""
+    from gramloom.operators import ordering
+
+    monkeypatch.setattr(grams, "TOKENS", 30)
+    monkeypatch.setattr(grams, "buckets_of", lambda _: 9)
+    same(ordering.ranked_by(plain(docs, 3), order).select("n", "ngram", F.col("rank").cast("long")), grams.ranked(docs.select("text"), order, scratch))
