@@ -62,6 +62,23 @@ def chain_many(ids: list) -> np.ndarray:
     return out
 
 
+def fnv1a_columns(ids: list[np.ndarray]) -> np.ndarray:
+    """fnv1a_many() of lists of one length, given place by place."""
+    out = np.full(len(ids[0]), FNV_OFFSET, np.uint64)
+    for word in ids:
+        for byte in range(4):
+            out = (out ^ ((word.astype(np.uint64) >> np.uint64(8 * byte)) & np.uint64(255))) * np.uint64(FNV_PRIME)
+    return out
+
+
+def chain_columns(ids: list[np.ndarray]) -> np.ndarray:
+    """chain_many() of lists of one length, given place by place."""
+    out = ids[0].astype(np.uint64)
+    for word in ids[1:]:
+        out = (out * np.uint64(CHAIN_LEFT)) ^ ((word.astype(np.uint64) + np.uint64(1)) * np.uint64(CHAIN_RIGHT))
+    return out
+
+
 def _over(values: pd.Series, run) -> pd.Series:
     there = values.notna().to_numpy()
     out = np.zeros(len(values), np.int64)

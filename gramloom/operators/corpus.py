@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramloom.config import SPECIALS
 from gramloom.functions import text as T
+from gramloom.operators import grams
 from gramloom.storage import ranked, scratch, small
 
 
@@ -50,6 +51,13 @@ def vocab_ids(sents: DataFrame, *by: str) -> DataFrame:
     return fixed.unionByName(numbered)
 
 
+def text_vocab_ids(docs: DataFrame) -> DataFrame:
+    """As vocab_ids() of the sentences of docs(key, text), where keys are whole numbers."""
+    firsts = grams.first_places(docs).where(~F.col("word").isin(*SPECIALS))
+    numbered = ranked(firsts, [F.col("place")], "rank").select("word", (F.col("rank") + len(SPECIALS) - 1).cast("int").alias("word_id"))
+    return docs.sparkSession.createDataFrame(list(SPECIALS.items()), "word string, word_id int").unionByName(numbered)
+
+
 def lookup_ids(rows: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """rows with word_id; words that the vocabulary lacks, and any spelling of the unknown word, have id 0."""
     known = vocab.select(F.col("word").alias("__word"), "word_id")

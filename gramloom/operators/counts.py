@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from gramloom.errors import DiscountError
 from gramloom.functions import hashing
 from gramloom.functions import text as T
 from gramloom.operators import grams
+from gramloom.storage import scratch
 
 
 def marked(words: Column | str = "words", bos: bool = True, eos: bool = True) -> Column:
@@ -43,6 +47,28 @@ def hashed_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return keyed.groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def text_hashed_counts(texts: DataFrame, order: int, vocab: DataFrame) -> DataFrame:
+    """As hashed_counts() of the counts of texts(text), up to three words, with ids looked up for each bucket of n-grams."""
+
+    def keyed(n, words, codes, ids, c):
+        yield pa.RecordBatch.from_arrays([pa.array(hashing.fnv1a_columns(ids).view(np.int64)), pa.array(c)], ["h", "c"])
+
+    return grams.numbered(texts.select("text"), order, vocab, keyed, "h long, c long", scratch).groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def ngram_hashes(texts: DataFrame, order: int, vocab: DataFrame) -> DataFrame:
+    """ngram, fnv, chained: both hashes of the ids of each different n-gram of texts(text); any spelling of the unknown word has the id 0."""
+
+    def hashed(n, words, codes, ids, c):
+        unk = pc.is_in(words, value_set=pa.array(["<unk>", "<UNK>"])).to_numpy(zero_copy_only=False)
+        ids = [np.where(unk[k], 0, x) for k, x in zip(codes, ids, strict=True)]
+        found = [hashing.fnv1a_columns(ids).view(np.int64), hashing.chain_columns(ids).view(np.int64)]
+        for batch in grams.text_batches(n, words, codes, found, ["n", "ngram", "fnv", "chained"]):
+            yield batch.select(["ngram", "fnv", "chained"])
+
+    return grams.numbered(texts.select("text"), order, vocab, hashed, "ngram string, fnv long, chained long", scratch)
+
+
 def continuation_counts(counts: DataFrame) -> DataFrame:
     """n, ngram, cc: how many different n-grams of the next order end with this one."""
     longer = counts.where("n > 1").select((F.col("n") - 1).alias("n"), T.suffix("ngram").alias("ngram"))

@@ -187,21 +187,23 @@ def text_batches(n: int, words: pa.Array, codes: list[np.ndarray], columns: list
 # --- from texts to tables ---------------------------------------------------------------------------------------------
 
 
-def worded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of texts' lines, or of lists of words, one after the other, how many each sentence has, and its row. A line without words is none."""
+def worded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts' lines, or of lists of words, one after the other, how many each sentence has, its row and its line there (from 0). A line without words is none."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         row = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
         column = column.drop_null()
-        return pc.cast(column.flatten(), pa.string()), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), row
+        return pc.cast(column.flatten(), pa.string()), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), row, np.zeros(len(row), np.int64)
     texts = pc.split_pattern(pc.cast(column.fill_null(""), pa.string()), "\n")
-    lines, of = texts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+    many = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines, of = texts.flatten(), np.repeat(np.arange(len(texts)), many)
+    line = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
     lists = pc.split_pattern_regex(lines, WHITE)
     found, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     there = pc.not_equal(found, "")
     keep = there.to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(sizes)), sizes)[keep]
     sizes = np.bincount(row, minlength=len(sizes))
-    return found.filter(there), sizes[sizes > 0], of[sizes > 0]
+    return found.filter(there), sizes[sizes > 0], of[sizes > 0], line[sizes > 0]
 
 
 @dataclasses.dataclass
@@ -238,7 +240,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
-            found, sizes, row = worded(part.columns[-1])
+            found, sizes, row, _ = worded(part.columns[-1])
             held.append((found, sizes, row + at, part.select(part.schema.names[:-1])))
             n, at = n + len(found) + 2 * len(sizes), at + part.num_rows
             if n >= TOKENS:
@@ -992,3 +994,77 @@ def ranked(rows: DataFrame, order: str, keep: Callable[[DataFrame, str], DataFra
                 yield from text_batches(n, words, codes, [np.arange(len(columns[0]), dtype=np.int64) + before[bucket] + 1], ["n", "ngram", "rank"])
 
     return stored.select("kind", "bucket", "blob").mapInArrow(named, "n int, ngram string, rank long")
+
+
+# --- numbers of words -------------------------------------------------------------------------------------------------
+
+
+def first_places(docs: DataFrame) -> DataFrame:
+    """word, place (key, line_no, pos) of the first occurrence of each word of docs(key, text), by whole-number keys."""
+    key = docs.schema.fields[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes, row, line = worded(batch.column(1))
+            if not len(found):
+                continue
+            met = found.dictionary_encode()
+            codes = met.indices.to_numpy(zero_copy_only=False)
+            keys = batch.column(0).take(pa.array(row))
+            pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at, line = np.repeat(np.arange(len(row)), sizes), np.repeat(line, sizes)
+            # Nulls come first, as in a sort of Spark's.
+            order = np.lexsort((pos, line, np.repeat(keys.fill_null(0).to_numpy(), sizes), np.repeat(keys.is_valid().to_numpy(zero_copy_only=False), sizes)))
+            words, first = np.unique(codes[order], return_index=True)
+            first = order[first]
+            yield pa.RecordBatch.from_arrays([met.dictionary.take(pa.array(words)), keys.take(pa.array(at[first])), pa.array(line[first].astype(np.int32)), pa.array(pos[first].astype(np.int32))], ["word", key.name, "line_no", "pos"])
+
+    schema = T.StructType().add("word", "string").add(key).add("line_no", "integer").add("pos", "integer")
+    return docs.mapInArrow(run, schema).groupBy("word").agg(F.min(F.struct(key.name, "line_no", "pos")).alias("place"))
+
+
+def numbered(rows: DataFrame, order: int, vocab: DataFrame, f: Callable[[int, pa.Array, list[np.ndarray], list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What f makes of the n-grams of each bucket: of n, words, numbers in that list, ids of vocab(word, word_id; 0 for words that it lacks), and counts."""
+    buckets = buckets_of(rows)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for bucket, held in by_bucket(batches):
+            ones, c1 = word_counts(held)
+            x = first_bucket(held, order) if order > 1 else Bucket(pa.array([], pa.string()), [np.zeros(0, np.int64)] * 5, [np.zeros(0, np.int64)] * 5)
+            words, (one, both) = _codes([(ones, []), (x.words, [])])
+            if len(words):
+                yield STORE, bucket, 0, len(words), 0, packed(words, [one, c1, *(both[c] for c in x.pairs[:2]), x.pairs[2], *(both[c] for c in x.tri[:3]), x.tri[3]])
+                yield from dealt(ASK, bucket, word_bucket(hashes(words), buckets), words, [np.arange(len(words)), np.arange(len(words))], 1)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            words = pc.cast(batch.column(0), pa.string())
+            yield from dealt(WORD, 0, word_bucket(hashes(words), buckets), words, [np.arange(len(words)), batch.column(1).to_numpy().astype(np.int64)], 1)
+
+    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for bucket, held in by_bucket(batches):
+            words, [at, numbers] = merged([unpacked(x) for _, x in held[WORD]], 1) if WORD in held else (pa.array([], pa.string()), [np.zeros(0, np.int64)] * 2)
+            asks = [(source, unpacked(x)) for source, x in held.get(ASK, [])]
+            known, codes = _codes([(words, []), *(x for _, x in asks)])
+            found = np.zeros(len(known), np.int64)
+            found[at] = numbers
+            for (source, (_, c)), code in zip(asks, codes[1:], strict=True):
+                yield REPLY, source, bucket, len(code), 0, packed(pa.array([], pa.string()), [c[1], found[code[c[0]]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_bucket(batches):
+            words, columns = unpacked(held[STORE][0][1])
+            one, c1, a2, b2, c2, a3, b3, d3, c3 = (c.astype(np.int64) for c in columns)
+            number = np.zeros(len(words), np.int64)
+            for _, blob in held[REPLY]:
+                at, found = unpacked(blob)[1]
+                number[at] = found
+            for n, codes, c in ((1, [one], c1), (2, [a2, b2], c2), (3, [a3, b3, d3], c3)):
+                if len(c):
+                    yield from f(n, words, codes, [number[k] for k in codes], c)
+
+    first = met(rows.mapInArrow(first_tables(order, buckets), BLOBS), buckets)
+    stored = keep(first.mapInArrow(lambda batches: blob_batches(tables(batches)), BLOBS), "coded")
+    known = vocab.select("word", "word_id").mapInArrow(lambda batches: blob_batches(ids(batches)), BLOBS)
+    answers = met(known.unionByName(stored.where(F.col("kind") == ASK)), buckets).mapInArrow(lambda batches: blob_batches(replies(batches)), BLOBS)
+    return met(stored.where(F.col("kind") == STORE).unionByName(answers), buckets).mapInArrow(run, schema)

@@ -95,7 +95,7 @@ def token_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.with_(_DOCS, S.vocab()) + "SELECT word, word_id FROM v")
 def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.vocab_ids(_sents(spark, sf_dir), "doc_id", "line_no")
+    return corpus.text_vocab_ids(_docs(spark, sf_dir))
 
 
 @query(S.with_(_DOCS, S.counts(3), S.effective(3)) + "SELECT CAST(n AS INTEGER) AS n, ngram, cc FROM e_cc")
@@ -144,8 +144,7 @@ _HASHED = f"hh AS (SELECT {S.SIGNED.format('h')} AS h, CAST(sum(c) AS BIGINT) AS
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sents(spark, sf_dir)
-    return C.hashed_counts(C.count_ngrams(_texts(spark, sf_dir), 2), corpus.vocab_ids(sents, "doc_id", "line_no"))
+    return C.text_hashed_counts(_texts(spark, sf_dir), 2, corpus.text_vocab_ids(_docs(spark, sf_dir)))
 
 
 @query(S.with_(_DOCS, S.counts(2), S.vocab(), _IDS, _HASHED) + "SELECT h, c FROM hh")
@@ -500,10 +499,7 @@ def quantized_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.with_(_DOCS, S.counts(3), S.vocab(), _IDS) + f"SELECT ngram, {S.SIGNED.format('h')} AS fnv, {S.SIGNED.format('k')} AS chained FROM (SELECT ngram, {S.fnv('ids')} AS h, {S.chain('ids')} AS k FROM w)")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sents(spark, sf_dir)
-    parts = C.count_ngrams(_texts(spark, sf_dir), 3).select("ngram", F.posexplode(F.split("ngram", " ")).alias("pos", "word"))
-    ids = corpus.lookup_ids(parts, corpus.vocab_ids(sents, "doc_id", "line_no")).groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("x"))
-    return ids.select("ngram", hashing.fnv1a(F.col("x.word_id")).alias("fnv"), hashing.chain(F.col("x.word_id")).alias("chained"))
+    return C.ngram_hashes(_texts(spark, sf_dir), 3, corpus.text_vocab_ids(_docs(spark, sf_dir)))
 
 
 @query(S.with_(_DOCS, "mw AS (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM s))", S.murmur("word", "mw")) + "SELECT word, h FROM mu")

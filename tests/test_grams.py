@@ -89,3 +89,18 @@ def test_ranks(docs, order, monkeypatch):
     monkeypatch.setattr(grams, "TOKENS", 30)
     monkeypatch.setattr(grams, "buckets_of", lambda _: 9)
     same(ordering.ranked_by(plain(docs, 3), order).select("n", "ngram", F.col("rank").cast("long")), grams.ranked(docs.select("text"), order, scratch))
+
+
+def test_ids_and_hashes(docs, monkeypatch):
+    """Ids that buckets ask for give the hashes that joins of single words give; keys come unsorted and twice."""
+    from gramloom.functions import hashing
+
+    rows = docs.orderBy(F.col("doc_id") % 5).unionByName(docs.where("doc_id = 4")).unionByName(docs.sparkSession.createDataFrame([(2, "z <UNK> new\n\nlate")], docs.schema))
+    sents = corpus.sentences(rows)
+    vocab = scratch(corpus.vocab_ids(sents, "doc_id", "line_no"), "vocab")
+    same(vocab, corpus.text_vocab_ids(rows))
+    counts = plain(rows, 3)
+    same(C.hashed_counts(counts.where("n < 3"), vocab), C.text_hashed_counts(rows, 2, vocab))
+    parts = counts.select("ngram", F.posexplode(F.split("ngram", " ")).alias("pos", "word"))
+    ids = corpus.lookup_ids(parts, vocab).groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("x"))
+    same(ids.select("ngram", hashing.fnv1a(F.col("x.word_id")).alias("fnv"), hashing.chain(F.col("x.word_id")).alias("chained")), C.ngram_hashes(rows, 3, vocab))
