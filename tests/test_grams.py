@@ -104,3 +104,17 @@ def test_ids_and_hashes(docs, monkeypatch):
     parts = counts.select("ngram", F.posexplode(F.split("ngram", " ")).alias("pos", "word"))
     ids = corpus.lookup_ids(parts, vocab).groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("x"))
     same(ids.select("ngram", hashing.fnv1a(F.col("x.word_id")).alias("fnv"), hashing.chain(F.col("x.word_id")).alias("chained")), C.ngram_hashes(rows, 3, vocab))
+
+
+def test_bins_of_counted_values(spark, monkeypatch):
+    """Equal values in several bins, and spans of few values."""
+    from gramloom.operators import quantize
+
+    monkeypatch.setattr(quantize, "SPAN", 3)
+    values = [(n, float(v)) for n, count in ((2, 57), (3, 5)) for v in (k * k % 11 for k in range(count))]
+    for size in (1, 4, 16):
+        found = {(r["n"], r["bin"]): r["centre"] for r in quantize.bins(spark.createDataFrame(values, "n int, value float"), size).collect()}
+        for n in (2, 3):
+            held = sorted(v for k, v in values if k == n)
+            parts = {i: held[len(held) * i // size : len(held) * (i + 1) // size] for i in range(size)}
+            assert {i: round(sum(x) / len(x), 5) for i, x in parts.items() if x} == {i: round(c, 5) for (k, i), c in found.items() if k == n}
